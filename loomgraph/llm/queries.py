@@ -88,3 +88,8 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the queries that SQL can express."""
+    return {}
