@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Java pattern of a word: a run without blank, tab, line feed, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: What parts words.
+SEPARATORS = " \t\n\v\f\r"
 
 #: Rows in one Arrow batch. Texts are whole, so a batch of the default 10,000 rows could outgrow a worker.
 ARROW_ROWS = 256

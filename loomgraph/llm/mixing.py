@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, checkpointed, free_name
+from .common import SEPARATORS, WORD_PATTERN, checkpointed, free_name
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -33,7 +33,9 @@ BROADCAST_SOURCES = 20_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    """Number of words. Each word with what parts it from the next becomes one sign, so no list of words is made."""
+    trimmed = F.btrim(text, F.lit(SEPARATORS))
+    return F.coalesce(F.char_length(F.regexp_replace(trimmed, f"{WORD_PATTERN}[{SEPARATORS}]*", "x")), F.lit(0)).cast("long")
 
 
 def quality(text: Column, size: Column) -> Column:
