@@ -134,11 +134,12 @@ def fit(docs: DataFrame, learn_from: Column, max_sample: int = MAX_SAMPLE) -> Mo
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bags = [histogram(t) for t in pdf.text]
-            yield pd.DataFrame({"h": pdf.h, "doc_id": pdf.doc_id, "lang": pdf.lang, "used": [u for u, _ in bags], "counts": [c for _, c in bags]})
+            packed = {"used": [u.astype(np.int16).tobytes() for u, _ in bags], "counts": [c.astype(np.int32).tobytes() for _, c in bags]}
+            yield pd.DataFrame({"h": pdf.h, "doc_id": pdf.doc_id, "lang": pdf.lang} | packed)
 
-    sample = rows.where(F.col("h") <= last).mapInPandas(features, "h long, doc_id long, lang string, used array<long>, counts array<long>")
-    got = sample.where(F.size("used") > 0).orderBy("h", "doc_id", "lang", "used").limit(max_sample).collect()
-    return train([(np.array(r.used), np.array(r.counts)) for r in got], [r.lang for r in got])
+    sample = rows.where(F.col("h") <= last).mapInPandas(features, "h long, doc_id long, lang string, used binary, counts binary")
+    got = sample.where(F.length("used") > 0).orderBy("h", "doc_id", "lang", "used").limit(max_sample).collect()
+    return train([(np.frombuffer(r.used, np.int16).astype(np.int64), np.frombuffer(r.counts, np.int32).astype(np.int64)) for r in got], [r.lang for r in got])
 
 
 def predictions(text: Column, model: Model) -> Column:
