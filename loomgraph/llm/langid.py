@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BUCKETS, WIDTH = 4_096, 24
 MAX_SAMPLE = 6_000
 EPOCHS, BATCH, RATE = 12, 32, 0.5
+#: Least number of steps; small samples are gone through more often.
+LEAST_STEPS = 1_500
 #: Share of rightly predicted held-back texts that rejection may cost, and the confidence it stays below.
 REJECTED_SHARE, REJECT_BELOW = 0.002, 0.6
 UNKNOWN = "und"
@@ -92,8 +94,9 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed
     weights = np.zeros((WIDTH, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
     dense = lambda rows: np.stack([_dense(*features[i]) for i in rows])
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(fit_on), 1)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(fit_on)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
