@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import katz, langid, mixing, quality_rules, sentencepiece_lattice, simhash, token_count, topk, url_filter, warc
 from .common import crc_fold, prepare, shared_dir, table
+from .oracles import ORACLES
 
 #: The public vocabulary that counts and encodes tokens; any SentencePiece model's path may take its place.
 TOKENIZER = "piece_bpe_32k.model"
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return dict(ORACLES)
