@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into units where no piece can span (see `units_of`): the vocabulary proves it. Each distinct unit of the
-corpus is encoded once:
+A text is cut into units where no piece can span (see `runs_of` and `units_of`): the vocabulary proves it. The units that make up most of a
+corpus are encoded relationally:
 
-1. explode its substrings of at most the longest piece's length,
+1. explode their substrings of at most the longest piece's length,
 2. equi-join them to the piece table, which gives the lattice's edges,
 3. group the edges by unit,
 4. fold them with Spark's higher-order `aggregate`.
@@ -13,27 +13,39 @@ BPE model isn't defined by a best path (its scores are ranks of merges), so Vite
 library; for it `merges` folds the same lattice by joining the adjacent pair whose edge ranks best, leftmost
 first, until none is left. Characters without a piece become byte pieces.
 
-Units of more than `MAX_UNIT` characters would make a fold's work quadratic; they are encoded by the library as they are.
+Sending every rare unit through the lattice and back to its documents moves more data than the limits allow (README). So at most
+`MAX_FREQUENT` units, the commonest, take that way; their ids have a fixed bound and go to every task. All
+other units are folded in the task that meets them, by the same rule over the same edges, looked up as the fold asks for them.
+Which units are common changes no result, and every unit of every text is encoded.
 
-Null and empty texts have no ids and decode to an empty text. Repeated rows are encoded alike. Empty input: empty result.
+Null and empty texts have no ids and decode to an empty text. Repeated rows are encoded alike. Units of any length are
+encoded whole. Empty input: empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
+from operator import add
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table
-
 BLANK = "▁"
 MAX_UNIT = 48
-BLOCK_UNITS = 2_000_000
+#: Units that the lattice encodes at most, and how often one must occur in a task's rows to count as common.
+MAX_FREQUENT, LEAST_COUNT = 65_536, 8
+#: Ids in one Arrow batch of results, about.
+BATCH_IDS = 2_000_000
+#: Units that a task remembers at most.
+REMEMBERED = 400_000
 #: Rank of what is no edge.
 NONE = 2**31 - 1
 
@@ -66,16 +78,20 @@ class Pieces:
         return spark.createDataFrame([(p, i, float(s), places[s]) for p, i, s in self.rows], "piece string, id int, score double, rank int")
 
 
-def units_of(text: str, pieces: Pieces) -> list[str]:
-    """A text's units: cut between characters that no piece holds side by side, if a blank follows or the run is long."""
-    out: list[str] = []
-    for run in re.findall(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n", BLANK + text.replace(" ", BLANK)):
-        if len(run) <= MAX_UNIT // 2:
-            out.append(run)
-        else:
-            cuts = [0, *(i for i in range(1, len(run)) if run[i - 1 : i + 1] not in pieces.inner), len(run)]
-            out += [run[a:b] for a, b in zip(cuts, cuts[1:])]
-    return out
+RUN = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+
+
+def runs_of(text: str) -> list[str]:
+    """A text cut before blanks and around line feeds, where no piece spans; a blank is put first, as the library does."""
+    return RUN.findall(BLANK + text.replace(" ", BLANK))
+
+
+def units_of(run: str, pieces: Pieces) -> list[str]:
+    """A run itself, or a long one cut between characters that no piece holds side by side."""
+    if len(run) <= MAX_UNIT:
+        return [run]
+    cuts = [0, *(i for i in range(1, len(run)) if run[i - 1 : i + 1] not in pieces.inner), len(run)]
+    return [run[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -134,10 +150,10 @@ def viterbi(unit: Column, edges: Column) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), size), start, extend), -1)["bounds"]
 
 
-def encode_units(units: DataFrame, pieces: Pieces, model_file: str | None = None, fold=merges) -> DataFrame:
-    """(unit, ids) of distinct units: by the lattice, those of more than MAX_UNIT characters by the library."""
-    short = units.where(F.char_length("unit") <= MAX_UNIT)
-    bounded = lattice(short, pieces).select("unit", fold(F.col("unit"), F.col("edges")).alias("bounds"), F.map_from_entries(F.transform("edges", lambda e: F.struct(_key(e["start"] - 1, e["end"]), e["id"]))).alias("by_span"))
+def encode_units(units: DataFrame, pieces: Pieces, fold=merges) -> DataFrame:
+    """(unit, ids) of distinct units of at most MAX_UNIT characters, by the lattice."""
+    by_span = F.map_from_entries(F.transform("edges", lambda e: F.struct(_key(e["start"] - 1, e["end"]), e["id"])))
+    bounded = lattice(units, pieces).select("unit", fold(F.col("unit"), F.col("edges")).alias("bounds"), by_span.alias("by_span"))
 
     def bytes_of(char: Column) -> Column:
         digits = F.hex(F.encode(char, "UTF-8"))
@@ -148,69 +164,143 @@ def encode_units(units: DataFrame, pieces: Pieces, model_file: str | None = None
         known = F.try_element_at("by_span", _key(begin, end))
         return F.when(known.isNotNull(), F.array(known)).otherwise(bytes_of(F.substring(F.col("unit"), begin + 1, end - begin)))
 
-    encoded = bounded.select("unit", F.flatten(F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), ids_of)).alias("ids"))
-    if not model_file:
-        return encoded
-
-    @F.pandas_udf("array<int>")
-    def by_library(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import sentencepiece
+    return bounded.select("unit", F.flatten(F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), ids_of)).alias("ids"))
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        for texts in batches:
-            # After a line feed nothing merges with what was before: two ids (blank, line feed) come first.
-            yield pd.Series([model.encode("\n" + t)[2:] for t in texts])
 
-    long = units.where(F.char_length("unit") > MAX_UNIT).select("unit", by_library(F.col("unit")).alias("ids"))
-    return encoded.unionByName(long)
+def frequent_units(docs: DataFrame, most: int = MAX_FREQUENT) -> DataFrame:
+    """At most `most` of the commonest units of a blank and a word, of at most MAX_UNIT characters: unit."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def kept() -> pd.DataFrame:
+            rows = [(BLANK + w, n) for w, n in counts.items() if n >= LEAST_COUNT and 0 < len(w) < MAX_UNIT and BLANK not in w and "\n" not in w]
+            return pd.DataFrame(rows, columns=["unit", "n"])
 
-def encode(docs: DataFrame, model_file: str, fold=merges) -> DataFrame:
-    """doc_id, n_tokens, ids and text (decoded from the ids) of every row of `docs` (doc_id, text)."""
-    pieces = Pieces.of_model(model_file)
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-        from pyspark import TaskContext
+        counts: Counter[str] = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                if text:
+                    counts.update(text.split(" "))
+            if len(counts) > REMEMBERED:
+                yield kept()
+                counts.clear()
+        yield kept()
+
+    found = docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return found.orderBy(F.col("n").desc(), "unit").limit(most).select("unit")
+
+
+class Encoder(dict):
+    """Encodes and decodes within a task. It maps what stands between two single blanks to its ids: frequent words' ids are
+    given, others are folded when first met. Texts with runs of blanks are cut into runs one by one."""
+
+    def __init__(self, pieces: Pieces, frequent: dict[str, tuple[int, ...]]):
+        self.frequent = {u[1:]: ids for u, ids in frequent.items()}
+        super().__init__(self.frequent)
+        self.pieces = pieces
+        places = {s: i for i, s in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
+        self.ranks = {p: places[s] for p, _, s in pieces.rows}
+        self.ids = {p: i for p, i, _ in pieces.rows}
+        self.bytes = np.full(max(max(self.ids.values()), pieces.first_byte + 255) + 1, b"", dtype=object)
+        for p, i, _ in pieces.rows:
+            self.bytes[i] = p.replace(BLANK, " ").encode("utf-8")
+        for b in range(256):
+            self.bytes[pieces.first_byte + b] = bytes([b])
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(word) >= MAX_UNIT:
+            return tuple(chain.from_iterable(map(self.run, runs_of(word))))
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.update(self.frequent)
+        self[word] = ids = self.fold(BLANK + word) if "\n" not in word else tuple(chain.from_iterable(map(self.run, runs_of(word))))
+        return ids
+
+    def run(self, run: str) -> tuple[int, ...]:
+        """Ids of a run."""
+        if len(run) <= MAX_UNIT:
+            return self.fold(run)
+        return tuple(i for u in units_of(run, self.pieces) for i in (self.fold(u) if len(u) <= MAX_UNIT else self.fold_long(u)))
+
+    def _ids(self, parts) -> tuple[int, ...]:
+        ids = self.ids
+        try:
+            return tuple([ids[p] for p in parts])
+        except KeyError:  # a character without a piece
+            return tuple(i for p in parts for i in ([ids[p]] if p in ids else (self.pieces.first_byte + b for b in p.encode("utf-8"))))
+
+    def fold(self, unit: str) -> tuple[int, ...]:
+        """Ids of a unit by merges: the adjacent pair with the best rank, leftmost first, until no pair is an edge."""
+        parts, rank = list(unit), self.ranks.get
+        ranks = list(map(rank, map(add, unit, unit[1:]), repeat(NONE)))
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)
+            parts[i] = joined = parts[i] + parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(joined + parts[i + 1], NONE)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + joined, NONE)
+        return self._ids(parts)
+
+    def fold_long(self, unit: str) -> tuple[int, ...]:
+        """The same fold with a heap of pairs, whose cost grows little faster than the unit."""
+        parts, ranks = list(unit), self.ranks
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(r, i, unit[i : i + 2]) for i in range(len(parts) - 1) if (r := ranks.get(unit[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, text = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != text:
+                continue
+            parts[i], parts[j], after[i] = text, None, after[j]
+            if (k := after[i]) < len(parts):
+                before[k] = i
+                if (r := ranks.get(text + parts[k])) is not None:
+                    heappush(heap, (r, i, text + parts[k]))
+            if (k := before[i]) >= 0 and (r := ranks.get(parts[k] + text)) is not None:
+                heappush(heap, (r, k, parts[k] + text))
+        return self._ids([p for p in parts if p is not None])
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.int32)
+        if BLANK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            ids = map(self.run, runs_of(text))
+        else:
+            ids = map(self.__getitem__, text.split(" "))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32)
 
-        part, made = TaskContext.get().partitionId(), 0
-        places: dict[str, int] = {}
-        ids, lengths, tokens = [], [], []
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, without the blank that encoding puts first."""
+        return b"".join(self.bytes.take(ids).tolist()).decode("utf-8", "replace").removeprefix(" ")
 
-        def block() -> pd.DataFrame:
-            data = zstandard.compress(np.concatenate(tokens).tobytes(), 1)
-            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [np.array(ids, dtype=object)], "lengths": [lengths], "units": [list(places)], "tokens": [data]})
 
-        for pdf in batches:
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
-                units = units_of(text, pieces) if text else []
-                if lengths and sum(lengths) + len(units) > BLOCK_UNITS:
-                    yield block()
-                    made += 1
-                    places, ids, lengths, tokens = {}, [], [], []
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(units))
-                tokens.append(np.array([places.setdefault(u, len(places)) for u in units], dtype=np.int32))
-        if lengths:
-            yield block()
-
-    schema = "block long, doc_ids array<long>, lengths array<int>, units array<string>, tokens binary"
-    cut = shared_table(docs.select("doc_id", "text").mapInPandas(blocks, schema), "lattice-blocks")
-    asked = cut.select("block", F.explode("units").alias("unit"))
-    encoded = encode_units(asked.select("unit").distinct(), pieces, model_file, fold)
-    answers = asked.join(encoded, "unit").groupBy(F.col("block").alias("of_block")).agg(F.collect_list(F.struct("unit", "ids")).alias("answers"))
-
-    def assemble(key, block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        import sentencepiece
-        import zstandard
-
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        r = block.iloc[0]
-        known = {a["unit"]: np.asarray(a["ids"], dtype=np.int32) for a in answers["answers"].iloc[0]} if len(answers) else {}
-        by_place = [known[u] for u in r.units]
-        tokens = np.frombuffer(zstandard.decompress(r.tokens), dtype=np.int32)
-        ends = np.cumsum(r.lengths)
-        ids = [np.concatenate([by_place[t] for t in tokens[e - n : e]]) if n else np.empty(0, np.int32) for n, e in zip(r.lengths, ends)]
-        return pd.DataFrame({"doc_id": pd.array(r.doc_ids, dtype="Int64"), "n_tokens": [len(x) for x in ids], "ids": ids, "text": [model.decode(x.tolist()) for x in ids]})
-
-    return cut.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(assemble, "doc_id long, n_tokens long, ids array<int>, text string")
+def encode(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, n_tokens, ids and text (decoded from the ids) of every row of `docs` (doc_id, text), by a BPE model."""
+    pieces = Pieces.of_model(model_file)
+    rows = encode_units(frequent_units(docs), pieces).collect()  # MAX_FREQUENT rows at most
+    known = docs.sparkSession.sparkContext.broadcast((pieces, {r["unit"]: tuple(r["ids"]) for r in rows}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(*known.value)
+
+        def done(ids: list, rows: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.diff(ends), pa.int64()), lists, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
+
+        for batch in batches:
+            ids, rows, texts, held = [], [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                row = encoder.encode(text)
+                ids.append(doc_id)
+                rows.append(row)
+                texts.append(encoder.decode(row))
+                if (held := held + len(row)) > BATCH_IDS:
+                    yield done(ids, rows, texts)
+                    ids, rows, texts, held = [], [], [], 0
+            if ids:
+                yield done(ids, rows, texts)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")
