@@ -96,8 +96,8 @@ def community_reach(graph: Graph) -> DataFrame:
     """Nodes that touch other communities: id, community, degree, reach (distinct other communities)."""
     of = graph.nodes.select(F.col("id").alias("other"), F.col("community").alias("there"))
     own = graph.degrees.select("id", "community", "degree", "label", "ord")
-    met = graph.sides.join(of, "other").join(own, "id").where("there <> community")
-    return met.groupBy("id", "community", "degree", "label", own["ord"]).agg(F.countDistinct("there").alias("reach"))
+    met = graph.sides.select("id", "other").join(of, "other").join(own, "id").where("there <> community")
+    return met.groupBy("id", "community", "degree", "label", "ord").agg(F.countDistinct("there").alias("reach"))
 
 
 def bridges(graph: Graph, top_n: int = 5) -> DataFrame:

@@ -25,4 +25,4 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def stream(spark: SparkSession, folder: str, schema, late: str = "1 hour", pattern: str = "events*.parquet") -> DataFrame:
     """Tumbling windows over Parquet files as they arrive; events later than `late` are left out."""
     events = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    return tumbling(events.withWatermark("ts", late))
+    return tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late))

@@ -41,7 +41,7 @@ def test_sections_hang_below_the_last_level_one(spark):
 def test_links_are_resolved(spark):
     text = "[a](../b/./c.md#x) ![i](img.png) [w](https://x.org) [h](#top) [m](mailto:a@b) [again](../b/c.md) [up](../../../z.md)"
     df = spark.createDataFrame([("d/e.md", text)], "source_file string, text string")
-    assert [r.target for r in docs.links(df).orderBy("nth").collect()] == ["b/c.md", "d/img.png", "../../z.md"]
+    assert [r.target for r in docs.links(df).orderBy("nth").collect()] == ["b/c.md", "d/img.png", "z.md"]
 
 
 def test_definitions(spark):
