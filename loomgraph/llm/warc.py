@@ -32,8 +32,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Bounds of what the dictionary is trained on, and its size.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 65_536
 LEVEL = 3
-#: Pages in one archive file, about.
-ARCHIVE_ROWS = 4_000
 
 
 class WarcError(ValueError):
@@ -57,12 +55,14 @@ def payload_digest(html: Column) -> Column:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from the first bytes of SAMPLE_PAGES pages, chosen by a hash of their ids; empty if they are too few."""
+    """A dictionary from the first bytes of SAMPLE_PAGES pages, chosen by a hash of their ids and addresses; empty if they are too few."""
     import zstandard
 
-    order = F.xxhash64("page_id")
-    cut = pages.where(F.length("html") > 0).select(order.alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-    samples = [r.html.encode("utf-8") for r in cut.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
+    rows = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "url").alias("h"), "html")
+    last = rows.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    # Only rows up to the last hash of the sample send their first bytes to the driver.
+    chosen = rows.where(F.col("h") <= F.lit(last)).select("h", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    samples = [r.html.encode("utf-8") for r in chosen.orderBy("h", "html").limit(SAMPLE_PAGES).collect()] if last is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -171,7 +171,10 @@ def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archives: int | None = None) -> None:
-    """Writes a record for each row of `pages` (page_id, url, html) to Zstandard archives in the folder `path`."""
+    """Writes a record for each row of `pages` (page_id, url, html) to Zstandard archives in the folder `path`.
+
+    Each task writes one; a number of archives can be asked for, at the price of one more shuffle.
+    """
     words = train_dictionary(pages)
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,8 +190,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archives: in
                 out.append(writer.compress(record_bytes(page_id, url, (html or "").encode("utf-8"), digested, owner)))
             yield pd.DataFrame({"frame": out})
 
-    archives = archives or max(1, -(-pages.count() // ARCHIVE_ROWS))
-    typed = record_types(pages, min_bytes).repartition(archives)
+    typed = record_types(pages, min_bytes)
+    typed = typed.repartition(archives) if archives else typed
     as_text = typed.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     as_text.write.option("lineSep", EMPTY_FRAME).text(path)
 
