@@ -85,7 +85,7 @@ def a8_corpus_warning(spark, sf_dir):
 
 @register
 def a13_html_text(spark, sf_dir):
-    return kg.table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("t")).select("page_id", F.length("t").alias("length"), md5("t").alias("digest"))
+    return kg.table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("length"), md5("t").alias("digest"))
 
 
 @register
@@ -96,7 +96,7 @@ def a15_sidecar_names(spark, sf_dir):
 @register
 def a17_ingested_pages(spark, sf_dir):
     pages = kg.table(spark, sf_dir, "pages")
-    return web.ingested(pages.select("url", "html")).select("url", "file", F.length("text").alias("length"), md5("note").alias("digest"))
+    return web.ingested(pages.select("url", "html")).select("url", "file", F.length("text").cast("long").alias("length"), md5("note").alias("digest"))
 
 
 @register
@@ -231,7 +231,7 @@ def b7_document_hubs(spark, sf_dir):
 
 @register
 def b8_without_fences(spark, sf_dir):
-    return kg.notes(spark, sf_dir).select("doc_id", text.without_fences(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("length"), md5("t").alias("digest"))
+    return kg.notes(spark, sf_dir).select("doc_id", text.without_fences(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("length"), md5("t").alias("digest"))
 
 
 @register
