@@ -116,13 +116,13 @@ def parse_python(path: str, text: str) -> list[dict]:
 
 def python_records(files: DataFrame) -> DataFrame:
     """Records of Python files (source_file, text)."""
-    columns = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = {"string": object, "int": "Int32", "double": "float64"}
+    columns = {name: kinds[kind] for name, kind in (c.split() for c in RECORD.split(", "))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [r for path, text in zip(pdf.source_file, pdf.text) for r in parse_python(path, text or "")]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"line": "Int32", "nth": "Int32", "weight": "float64"})
+            yield pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype=kind) for name, kind in columns.items()})
 
     return files.select("source_file", "text").mapInPandas(run, RECORD)
 
