@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import katz, mixing, simhash, topk, warc
+from loomgraph.llm import katz, mixing, shingle_join, simhash, topk, warc
 from loomgraph.llm import queries as llm
 from loomgraph.llm.common import crc_fold
 
@@ -377,3 +377,47 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, clash):
         out = stage(spark, docs, SF)
         assert out.count() >= 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def brute_similar_classes(rows):
+    """rows: (doc_id, text); the smallest doc_id of each class of texts whose 5-word shingles have a similarity of 0.8."""
+    sets = []
+    for d, text in rows:
+        words = (text or "").lower().split()
+        sets.append((d, {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()))
+    root = {d: d for d, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(d), find(e)))
+                root[y] = x
+    return {find(d) for d in root}
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_pipeline_links_near_copies(spark, monkeypatch, bucket):
+    monkeypatch.setattr(shingle_join, "PAIR_BUCKET", bucket)
+    monkeypatch.setattr(shingle_join, "STAR_ROUNDS", 2)
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line = [word() for _ in range(20)]
+    texts = ["", None, "One two", "one  TWO", "one two three"]
+    for _ in range(25):
+        base = line + [word() for _ in range(rng.randrange(40, 300))]
+        for _ in range(rng.choice([1, 2, 3, 12])):
+            copy = list(base)
+            for _ in range(rng.randrange(0, len(copy) // 25)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want = brute_similar_classes(rows)
+    assert 20 < len(want) < len(rows) - 20
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
