@@ -111,6 +111,26 @@ def test_communities(spark):
     assert {r.id: r.community for r in again.collect()} == rows
 
 
+def test_moving_goes_on_until_no_node_gains(spark):
+    n = 120
+    pairs = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(n - 1)]
+    sides = spark.createDataFrame([(x, y, 1.0) for a, b in pairs for x, y in ((a, b), (b, a))], "id string, other string, w double").coalesce(2).cache()
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    strength = spark.createDataFrame([(i, float(len(x))) for i, x in near.items()], "id string, k double").coalesce(2).cache()
+    of = {r.id: r.c for r in community._move(sides, strength, float(len(pairs)), 1.0).collect()}
+    mass = dict.fromkeys(of.values(), 0)
+    for i, c in of.items():
+        mass[c] += len(near[i])
+
+    def gain(i, c):
+        return sum(of[x] == c for x in near[i]) - len(near[i]) * (mass[c] - len(near[i]) * (of[i] == c)) / (2 * len(pairs))
+
+    assert len(of) == n and not [i for i in of for x in near[i] if gain(i, of[x]) > gain(i, of[i]) + 1e-6]
+
+
 def test_cohesion_and_labels(spark):
     g = graph(spark, [("a", "b"), ("b", "c")], extra=["d"])
     row = metrics.cohesion(g).first()
