@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +39,12 @@ def reached(graph: Graph, starts: DataFrame, max_hops: int) -> DataFrame:
     return seen
 
 
-def shortest_path(graph: Graph, source: str, target: str, max_hops: int = 20) -> DataFrame:
+def shortest_path(graph: Graph, source: str, target: str, max_hops: int | None = None) -> DataFrame:
     """The steps of the shortest path between two ids (the smallest, if there are several): hop, id, label, relation."""
     sides = cut(graph.sides.select("id", "other").where("id <> other"))
     spark = sides.sparkSession
     seen = frontier = cut(spark.createDataFrame([(source, [source])], "id string, path array<string>"))
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         if not seen.where(F.col("id") == target).isEmpty():
             break
         step = frontier.join(sides, "id").select(F.col("other").alias("id"), F.concat("path", F.array("other")).alias("path"))
@@ -69,5 +70,5 @@ def components(graph: Graph, max_rounds: int = 60) -> DataFrame:
         step = cut(step.join(over, "component").select("id", "old", F.least("component", "further").alias("component")))
         labels = step.select("id", "component")
         if step.where("old <> component").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -98,6 +98,13 @@ def test_shortest_path_is_the_smallest(spark):
     assert {r.id: r.component for r in paths.components(g).collect()} == dict.fromkeys("abcde", "a") | dict.fromkeys("xy", "x")
 
 
+def test_paths_go_on_and_components_raise(spark):
+    g = graph(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(22)])
+    with pytest.raises(RuntimeError):
+        paths.components(g, max_rounds=1)
+    assert paths.shortest_path(g, "n00", "n22").count() == 23
+
+
 def test_communities(spark):
     cliques = [[f"{c}{i}" for i in range(6)] for c in "pqr"]
     pairs = [p for c in cliques for p in combinations(c, 2)] + [("p0", "q0"), ("q1", "r1")]
