@@ -25,13 +25,16 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir), also set as the checkpoint folder.
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder stands in.
+    On one machine (a local master) a temporary folder stands in where the setting is absent; a cluster must have it.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = path or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -50,6 +53,31 @@ def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in a folder of their own within the shared folder, removed when the run is over."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.run, self.names = spark, f"{name}_{uuid.uuid4().hex}", []
+        self.path = f"{shared_dir(spark)}/{self.run}"
+
+    def table(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """A table bucketed like all others of this session: joins of such tables on `column` shuffle nothing."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names.append(f"{self.run}_{name}")
+        df.write.bucketBy(buckets, column).sortBy(column).option("path", f"{self.path}/{name}").saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def clear(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,47 +1,53 @@
-"""Katz backoff language model: counts in partitioned tables, Good-Turing discounts, exactly normalised backoff.
-
-Tokens are the words of a text, lower-cased (A-Z), and one end token. A token's probability is found recursively:
-
-1. its class given the class before: a discounted bigram count if training has seen the pair,
-2. else the backoff weight of the class before times the class's unigram probability,
-3. times, for a word of the class of rare words, its own discounted share in that class; all words that training
-   hasn't seen share what discounting has freed there.
-
-A word is a class of its own if it makes up at least 1 / 2**`CLASS_BITS` of all training tokens and occurs more than
-`K` times. So there are at most 2**CLASS_BITS such words, whatever the corpus: their list, counts and backoff weights have a
-fixed bound and go to every task. Everything else grows with the corpus and stays in tables: word counts and pair
-counts are cut into hash buckets, so that a hot word or pair is one number in each block of documents.
-
-Discounts are Katz's for counts up to K, from counts of counts. Where those can't give discounts between 0 and 1 (small or
-odd corpora), absolute discounting by 1/2 takes their place. Backoff weights are (1 - seen mass) / (1 - seen classes'
-unigram mass), so each context's probabilities sum to 1. A context whose seen pairs leave nothing over is divided by its
-count + 1; one that has seen every class backs off to nothing.
-
-Documents are tokenised once, into blocks of at most `BLOCK_TOKENS` tokens (a longer document is one block). A block asks
-the buckets for its distinct words and pairs, and gets the counts back in the order of its question.
-
-Null texts are empty (one end token). Repeated rows are scored and counted separately. With no training rows every token
-is unseen and has probability 1 as the only known outcome. Words are told apart by their 64-bit hash.
+"""Katz backoff language model of order `ORDER`: every word is a type of its own, counts live in partitioned tables.
+
+Tokens are the words of a text, lower-cased (A-Z), and one end token; a text starts after `ORDER - 1` begin marks. The
+probability of a token w after a history h is found recursively:
+
+1. D(c(h w)) / c(h), if training has seen h w: D takes the Good-Turing discount off the count,
+2. else alpha(h) times the probability of w after the history without its first word (alpha is 1 if h wasn't seen),
+3. at the end D(c(w)) / N for a seen word, and for any unseen one what the discounts have freed there.
+
+Discounts are Katz's for counts up to `K`, from counts of counts; a larger count loses as much as K does, so every history
+keeps something for what it hasn't seen. Where Good-Turing can't give discounts between 0 and 1 (small or odd corpora),
+absolute discounting by 1/2 takes its place. alpha(h) = (1 - sum of D(c(h w)) / c(h)) / (1 - sum of P(w | h without its
+first word)), both sums over the words seen after h, so the probabilities after each history sum to 1.
+
+Documents are tokenised once, into blocks of about `BLOCK_TOKENS` tokens (a longer document is one block). A round of the
+work asks: each block sends its distinct n-grams, sorted, with its own counts, to hash buckets; a bucket adds
+up what all blocks have sent and answers each block in the order of its question. A hot word or n-gram is so one number for each
+block, and no bucket holds more than its share. Round 1 counts words and pairs. Each later round counts n-grams one word
+longer, and adds up the two sums of alpha for histories two words shorter than those. Answers are stored by block, in
+tables bucketed like the blocks, so tokens are never shuffled.
+
+Three things are known without asking, and are not sent: a training n-gram whose history occurs once in training, and in no
+held-out text, occurs once; a held-out n-gram whose history or whose last words training hasn't seen has count 0; alpha is
+needed for histories that held-out texts hold.
+
+Null texts are empty (one end token). Repeated rows and repeated doc_ids are scored and counted separately, null doc_ids
+stay null. With no training rows every token is unseen and has probability 1 as the only known outcome. Other columns of the
+input aren't read. Words are told apart by 64-bit hashes, n-grams by 64-bit hashes of their words' hashes. Empty input: empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import Scratch, shared_table
 
-CLASS_BITS = 17
+ORDER = 3
 K = 5
-BLOCK_TOKENS = 2_000_000
-#: Distinct words or pairs of one block in one bucket, about.
-BUCKET_ROWS = 60_000
+BLOCK_TOKENS = 2**20
+#: Keys of all blocks in one bucket, about.
+BUCKET_KEYS = 2**20
 END = b""
+#: Histories of begin marks alone, by length.
+BEGIN = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i in range(16)]
 
 
 @dataclass(frozen=True)
@@ -59,312 +65,343 @@ class Discounts:
 def good_turing(of_counts: np.ndarray) -> Discounts:
     """Katz discounts from of_counts[r], the number of types seen r times, r from 1 to K + 1."""
     n = np.asarray(of_counts, dtype=np.float64)
-    absolute = Discounts(np.array([0.0, *(1 - 0.5 / r for r in range(1, K + 1))]), 0.5)
-    if not n[1:].all():
-        return absolute
-    r = np.arange(1, K + 1)
-    ratio, common = (r + 1) * n[2:] / (r * n[1:-1]), (K + 1) * n[K + 1] / n[1]
-    if common >= 1:
-        return absolute
-    d = (ratio - common) / (1 - common)
-    return Discounts(np.array([0.0, *d]), 0.0) if ((d > 0) & (d < 1)).all() else absolute
+    low = np.array([0.0, *(1 - 0.5 / r for r in range(1, K + 1))])
+    if n[1:].all() and (common := (K + 1) * n[K + 1] / n[1]) < 1:
+        r = np.arange(1, K + 1)
+        d = ((r + 1) * n[2:] / (r * n[1:-1]) - common) / (1 - common)
+        if ((d > 0) & (d < 1)).all():
+            low = np.array([0.0, *d])
+    return Discounts(low, K * (1 - low[K]))
 
 
 @dataclass(frozen=True)
-class Words:
-    """The bounded part of the model: frequent words by hash, counts of classes, discounts of rare words."""
+class Model:
+    """What every task must know: sizes of the training part, discounts by order, numbers of buckets. Its size is fixed."""
 
-    hashes: np.ndarray  # sorted; a word's class is its place
-    counts: np.ndarray  # of the classes; the last is that of rare words
-    tokens: int
-    types: int
-    rare: Discounts
-    rare_free: float  # what unseen words share
+    order: int
+    tokens: int = 0
+    texts: int = 0
+    types: int = 0
+    buckets: dict[str, int] = field(default_factory=dict)
+    discounts: dict[int, Discounts] = field(default_factory=dict)
+    unseen: float = 1.0  # probability of all words that training hasn't seen
 
-    @property
-    def begin(self) -> int:
-        return len(self.hashes) + 1
 
-    @property
-    def class_total(self) -> int:
-        return int(self.counts.sum())
+def _compress(data: bytes) -> bytes:
+    import zstandard
 
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
+    return zstandard.compress(data, 1)
 
 
-@dataclass(frozen=True)
-class Model:
-    words: Words
-    pairs: Discounts
-    context: np.ndarray  # a context class's divisor; 0: not seen in training
-    backoff: np.ndarray
-    pair_table: DataFrame
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of an array's numbers, all first bytes before all second ones: small numbers then compress to little."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+
+
+def _of_planes(data: bytes, dtype, n: int) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(data, np.uint8, n * width).reshape(width, n).T.copy().view(dtype).reshape(n)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Numbers of 8 bytes each, column after column."""
+    return _compress(b"".join(map(_planes, columns)))
 
 
-def tokenised(docs: DataFrame, held_out: Column) -> DataFrame:
+def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(data)
+    n = len(raw) // (8 * len(dtypes))
+    return [_of_planes(raw[i * 8 * n : (i + 1) * 8 * n], d, n) for i, d in enumerate(dtypes)]
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64)[0], dtype=np.uint64)
+
+
+def longer(history: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of histories with a word added."""
+    x = history * np.uint64(0x9FB21C651E98DF25) + words * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def tokenised(docs: DataFrame, held_out: Column, scratch: Scratch) -> DataFrame:
     """Blocks of documents: doc_ids, held, tokens in each, the distinct words' hashes, and all tokens as places in them."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
-        import zstandard
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
         places: dict[bytes, int] = {}
-        ids, held, lengths, tokens = [], [], [], []
+        ids, nameless, held, lengths, tokens, size = [], [], [], [], [], 0
 
         def block() -> pd.DataFrame:
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in places], dtype=np.uint64).view(np.int64)
-            data = zstandard.compress(np.concatenate(tokens).tobytes(), 1)
-            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [np.array(ids, dtype=object)], "held": [held], "lengths": [lengths], "hashes": [hashes], "tokens": [data]})
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in places], dtype=np.uint64)
+            data = _compress(_planes(np.concatenate(tokens)))
+            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [ids], "nameless": [nameless], "held": [held], "lengths": [lengths], "words": [hashes.tobytes()], "tokens": [data]})
 
         for pdf in batches:
             for doc_id, text, out in zip(pdf.doc_id, pdf.text, pdf.held):
                 words = text.encode("utf-8").lower().split() if text else []
                 words.append(END)
-                if lengths and sum(lengths) + len(words) > BLOCK_TOKENS:
+                if size and size + len(words) > BLOCK_TOKENS:
                     yield block()
                     made += 1
-                    places, ids, held, lengths, tokens = {}, [], [], [], []
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                    places, ids, nameless, held, lengths, tokens, size = {}, [], [], [], [], [], 0
+                ids.append(int(doc_id or 0))
+                nameless.append(doc_id is None)
                 held.append(bool(out))
                 lengths.append(len(words))
+                size += len(words)
                 tokens.append(np.array([places.setdefault(w, len(places)) for w in words], dtype=np.int32))
         if lengths:
             yield block()
 
-    schema = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, hashes array<long>, tokens binary"
-    rows = docs.select("doc_id", "text", held_out.alias("held"))
-    return shared_table(rows.mapInPandas(blocks, schema), "katz-blocks")
-
-
-def _tokens(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.decompress(data), dtype=np.int32)
+    schema = "block long, doc_ids array<long>, nameless array<boolean>, held array<boolean>, lengths array<int>, words binary, tokens binary"
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", held_out.alias("held"))
+    return scratch.bucketed(rows.mapInPandas(blocks, schema), "blocks", "block")
 
 
-def _taught(held, lengths) -> np.ndarray:
-    """True at the tokens of training documents."""
-    return np.repeat(~np.asarray(held, dtype=bool), lengths)
+class Block:
+    """A block's tokens, and their counts as far as rounds have answered."""
 
+    def __init__(self, row, model: Model):
+        import zstandard
 
-def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-
-
-def _asked(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
-    """A block's question, cut into buckets: keys in ascending order with the block's own training counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    bucket = _bucket_of(keys, buckets)
-    by = np.argsort(bucket, kind="stable")
-    used, starts = np.unique(bucket[by], return_index=True)
-    cut = np.split(by, starts[1:])
-    return pd.DataFrame({"bucket": used, "block": block, "keys": [keys[i] for i in cut], "counts": [counts[i] for i in cut]})
-
-
-def _answered(bucket_rows: DataFrame) -> DataFrame:
-    """(part, bucket, block, keys, counts): the whole corpus's counts, for each question (part `answer`, in its order) and
-    once for the table of the model (part `table`: those above 0)."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, inverse = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate(pdf["counts"].to_list()), minlength=len(keys)).astype(np.int64)
-        answers = np.split(totals[inverse], np.cumsum(pdf["keys"].map(len))[:-1])
-        seen = totals > 0
-        rows = [("answer", b, None, a) for b, a in zip(pdf["block"], answers)] + [("table", -1, keys[seen], totals[seen])]
-        out = pd.DataFrame(rows, columns=["part", "block", "keys", "counts"])
-        return out.assign(bucket=pdf["bucket"].iloc[0])[["bucket", "block", "keys", "counts", "part"]]
+        self.model, self.lengths = model, np.asarray(row.lengths)
+        self.held_texts = np.asarray(row.held, dtype=bool)
+        self.held = np.repeat(self.held_texts, self.lengths)
+        self.ends = np.cumsum(self.lengths)
+        self.starts = self.ends - self.lengths
+        self.size = int(self.ends[-1])
+        words = np.frombuffer(row.words, np.uint64)
+        self.grams = {1: words[_of_planes(zstandard.decompress(row.tokens), np.int32, self.size)]}
+        self.answers: dict[str, dict[int, bytes]] = {}
+        for name in row.index:
+            for x in row[name] if name.startswith("answers") and row[name] is not None else ():
+                self.answers.setdefault(x["kind"], {})[x["bucket"]] = x["data"]
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def before(self, values: np.ndarray, at_start) -> np.ndarray:
+        """Each token's value of the token before it."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = at_start
+        return out
 
-    return bucket_rows.groupBy("bucket").applyInPandas(merge, "bucket int, block long, keys array<long>, counts array<long>, part string")
+    def history(self, k: int) -> np.ndarray:
+        """Hashes of the k - 1 words before each token."""
+        return self.before(self.gram(k - 1), BEGIN[k - 1])
+
+    def gram(self, k: int) -> np.ndarray:
+        if k not in self.grams:
+            self.grams[k] = longer(self.history(k), self.grams[1])
+        return self.grams[k]
+
+    def asked(self, k: int) -> np.ndarray:
+        """Which tokens' k-grams must be asked for."""
+        if k <= 2:
+            return np.ones(self.size, dtype=bool)
+        times, wanted = self.history_counts(k)
+        return np.where(self.held, (times > 0) & (self.counts(k - 1)[0] > 0), (times > 1) | wanted)
+
+    def history_counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often training has the history of each token's k-gram, and whether a held-out text has it."""
+        times, wanted = self.counts(k - 1)
+        return self.before(times, self.model.texts), self.before(wanted, True)
+
+    def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The training count of each token's k-gram, and whether a held-out text has it."""
+        if k not in self.known:
+            mask = self.asked(k)
+            keys, inverse = np.unique(self.gram(k)[mask], return_inverse=True)
+            times, wanted = self.restored(f"gram{k}", keys, np.int64, np.int64)
+            all_times, all_wanted = (~self.held).astype(np.int64), np.zeros(self.size, dtype=bool)
+            all_times[mask], all_wanted[mask] = times[inverse], wanted[inverse] > 0
+            self.known[k] = all_times, all_wanted
+        return self.known[k]
+
+    def dealt(self, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' buckets, and their places in order of buckets."""
+        buckets = self.model.buckets[kind]
+        bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 2**16 else np.uint32)
+        return bucket, np.argsort(bucket, kind="stable")
+
+    def restored(self, kind: str, keys: np.ndarray, *dtypes) -> list[np.ndarray]:
+        """Answers in the order of the sorted keys."""
+        order = self.dealt(kind, keys)[1]
+        parts = [unpacked(data, *dtypes) for _, data in sorted(self.answers.get(kind, {}).items())]
+        out = []
+        for i, dtype in enumerate(dtypes):
+            column = np.empty(len(keys), dtype)
+            column[order] = np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype)
+            out.append(column)
+        return out
 
+    def questions(self, kind: str, keys: np.ndarray, values: list[np.ndarray], wanted: bool) -> list[tuple]:
+        """Sorted distinct keys with their values, cut into buckets."""
+        bucket, by = self.dealt(kind, keys)
+        used, starts = np.unique(bucket[by], return_index=True)
+        return [(kind, int(b), packed_keys(keys[i]), packed(*[v[i] for v in values]) if values else b"", wanted) for b, i in zip(used, np.split(by, starts[1:]))]
+
+    def gram_questions(self, k: int) -> list[tuple]:
+        mask = self.asked(k)
+        keys, inverse = np.unique(self.gram(k)[mask], return_inverse=True)
+        held = self.held[mask]
+        n = [np.bincount(inverse[side], minlength=len(keys)).astype(np.int64) for side in (~held, held)]
+        return self.questions(f"gram{k}", keys, n, True)
+
+    def lower(self, k: int) -> np.ndarray:
+        """Probability of each token by its k-gram, which training has seen."""
+        times = self.counts(k)[0]
+        return self.model.discounts[k](times) / (self.model.tokens if k == 1 else np.maximum(self.history_counts(k)[0], 1))
+
+    def without(self, k: int) -> np.ndarray:
+        """Held-out tokens whose k-gram training hasn't seen, though it has their history."""
+        return self.held & (self.counts(k)[0] == 0) & (self.history_counts(k)[0] > 0)
+
+    def weight_questions(self, k: int) -> list[tuple]:
+        """Parts of the sums for alpha of histories of k words, and histories whose alpha is wanted."""
+        times, history = self.counts(k + 1)[0], self.history(k + 1)
+        give = ~self.held & self.history_counts(k + 1)[1]
+        keys, inverse = np.unique(history[give], return_inverse=True)
+        # A type seen c times is met c times, so each time gives a c-th part.
+        share = times[give]
+        kept = np.bincount(inverse, self.model.discounts[k + 1](share) / share, len(keys))
+        below = np.bincount(inverse, self.lower(k)[give] / share, len(keys))
+        return [*self.questions(f"alpha{k}", keys, [kept, below], False), *self.questions(f"alpha{k}", np.unique(history[self.without(k + 1)]), [], True)]
+
+    def alpha(self, k: int) -> np.ndarray:
+        """log10 of the backoff weight of the histories of k words at the tokens that need it, else 0."""
+        need = self.without(k + 1)
+        keys, inverse = np.unique(self.history(k + 1)[need], return_inverse=True)
+        kept, below = (x[inverse] for x in self.restored(f"alpha{k}", keys, np.float64, np.float64))
+        out = np.zeros(self.size)
+        out[need] = np.log10((1 - kept / self.history_counts(k + 1)[0][need]) / np.maximum(1 - below, 1e-15))
+        return out
 
-ASKED = "bucket int, block long, keys array<long>, counts array<long>"
+    def scores(self) -> np.ndarray:
+        """log10 probability of each token."""
+        out, unsolved = np.zeros(self.size), np.ones(self.size, dtype=bool)
+        for k in range(self.model.order, 1, -1):
+            seen = unsolved & (self.counts(k)[0] > 0)
+            out[seen] += np.log10(self.lower(k)[seen])
+            unsolved &= ~seen
+            out[unsolved] += self.alpha(k - 1)[unsolved]
+        seen = unsolved & (self.counts(1)[0] > 0)
+        out[seen] += np.log10(self.lower(1)[seen])
+        out[unsolved & ~seen] += np.log10(self.model.unseen)
+        return out
 
 
-def word_questions(blocks: DataFrame, buckets: int) -> DataFrame:
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                tokens = _tokens(r.tokens)
-                yield _asked(r.block, np.asarray(r.hashes), np.bincount(tokens[_taught(r.held, r.lengths)], minlength=len(r.hashes)), buckets)
+ASKED = "kind string, bucket int, keys binary, values binary, wanted boolean, block long"
+ANSWERED = "kind string, bucket int, data binary, block long, of_counts array<long>"
 
-    return blocks.mapInPandas(ask, ASKED)
 
+def _merged(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's answers to its questions, and for n-grams a row of counts of counts (0 to K + 1), tokens and types."""
+    kind, bucket = key
+    grams = kind.startswith("gram")
+    pdf = pdf.sort_values(["block", "wanted"])  # sums of floats in one order
+    asked = [unpacked_keys(k) for k in pdf["keys"]]
+    keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    number = np.int64 if grams else np.float64
+    values = [unpacked(v, number, number) if v else [np.zeros(len(k), number)] * 2 for k, v in zip(asked, pdf["values"])]
+    sums = [np.bincount(inverse, np.concatenate([v[i] for v in values]), len(keys)).astype(number) for i in range(2)]
+    rows, at = [], 0
+    if grams:
+        times, sums[1] = sums[0], (sums[1] > 0).astype(np.int64)
+        rows.append((None, -1, [*np.bincount(times[times <= K + 1], minlength=K + 2), times.sum(), (times > 0).sum()]))
+    for block, wanted, k in zip(pdf["block"], pdf["wanted"], asked):
+        if wanted:
+            mine = inverse[at : at + len(k)]
+            rows.append((packed(sums[0][mine], sums[1][mine]), block, None))
+        at += len(k)
+    return pd.DataFrame(rows, columns=["data", "block", "of_counts"]).assign(kind=kind, bucket=bucket)[["kind", "bucket", "data", "block", "of_counts"]]
 
-def _pairs(tokens: np.ndarray, lengths, classes: np.ndarray, begin: int) -> np.ndarray:
-    """The class before and the class of each token as one number."""
-    now = classes[tokens]
-    before = np.concatenate([[begin], now[:-1]])
-    before[np.cumsum(lengths)[:-1]] = begin
-    return before << 32 | now
 
+def _round(state: DataFrame, model: Model, kinds: list[tuple[str, int]], name: str, scratch: Scratch) -> tuple[DataFrame, dict[str, list[int]]]:
+    """Asks for each of the kinds, ("gram" or "alpha", length): the blocks' answers, and each kind's counts of counts."""
 
-def pair_questions(blocks: DataFrame, words: Words, buckets: int) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples():
-                pairs = _pairs(_tokens(r.tokens), r.lengths, words.classes(np.asarray(r.hashes)), words.begin)
-                keys, inverse = np.unique(pairs, return_inverse=True)
-                counts = np.bincount(inverse[_taught(r.held, r.lengths)], minlength=len(keys))
-                yield _asked(r.block, keys, counts, buckets)
-
-    return blocks.mapInPandas(ask, ASKED)
-
-
-def _of_counts(table: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Counts of counts 1 to K + 1, sum of counts, number of types of a model table."""
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, total, types = np.zeros(K + 2, np.int64), 0, 0
-        for pdf in batches:
-            for counts in pdf["counts"]:
-                counts = np.asarray(counts)
-                low += np.bincount(counts[counts <= K + 1], minlength=K + 2)
-                total, types = total + int(counts.sum()), types + len(counts)
-        yield pd.DataFrame([[*low, total, types]], columns=[*(f"n{r}" for r in range(K + 2)), "total", "types"])
-
-    names = [*(f"n{r}" for r in range(K + 2)), "total", "types"]
-    sums = table.select("counts").mapInPandas(tally, ", ".join(f"{n} long" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
-    got = [int(sums[n] or 0) for n in names]
-    return np.array(got[: K + 2]), got[-2], got[-1]
-
-
-def learn_words(table: DataFrame) -> Words:
-    """The bounded summary of the table of word counts."""
-    of_counts, tokens, types = _of_counts(table)
-    least = max(K + 1, -(-tokens // 2**CLASS_BITS))
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for keys, counts in zip(pdf["keys"], pdf["counts"]):
-                keep = np.asarray(counts) >= least
-                yield pd.DataFrame({"hash": np.asarray(keys)[keep], "n": np.asarray(counts)[keep]})
-
-    pdf = table.select("keys", "counts").mapInPandas(frequent, "hash long, n long").toPandas()  # 2**CLASS_BITS rows at most
-    order = np.argsort(pdf["hash"].to_numpy(dtype=np.int64))
-    hashes, counts = pdf["hash"].to_numpy(dtype=np.int64)[order], pdf["n"].to_numpy(dtype=np.int64)[order]
-    rare_tokens, rare_types = tokens - int(counts.sum()), types - len(hashes)
-    rare = good_turing(of_counts)
-    seen = lambda d: _rare_mass(d, of_counts, rare_tokens, rare_types)
-    if rare_tokens and seen(rare) >= rare_tokens * (1 - 1e-12):
-        rare = Discounts(np.array([0.0, *(1 - 0.5 / r for r in range(1, K + 1))]), 0.5)
-    free = 1 - seen(rare) / rare_tokens if rare_tokens else 1.0
-    # Without rare words in training, their class keeps one count for unseen words.
-    return Words(hashes, np.append(counts, max(rare_tokens, 1)), tokens, types, rare, free)
-
-
-def _rare_mass(discounts: Discounts, of_counts: np.ndarray, rare_tokens: int, rare_types: int) -> float:
-    """Sum of the discounted counts of rare words."""
+            for _, row in pdf.iterrows():
+                block = Block(row, model)
+                for what, k in kinds:
+                    rows = block.gram_questions(k) if what == "gram" else block.weight_questions(k)
+                    yield pd.DataFrame(rows, columns=["kind", "bucket", "keys", "values", "wanted"]).assign(block=row.block)
+
+    merged = state.mapInPandas(ask, ASKED).groupBy("kind", "bucket").applyInPandas(_merged, ANSWERED)
+    merged = scratch.table(merged, f"{name}-buckets", "kind")
+    answers = merged.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "data")).alias(f"answers_{name}"))
+    table = scratch.bucketed(answers, name, "block")
+    sums = merged.where("block < 0").groupBy("kind").agg(F.array(*[F.sum(F.col("of_counts")[i]) for i in range(K + 4)]).alias("sums")).collect()
+    return table, {r["kind"]: list(r["sums"]) for r in sums}
+
+
+def _learned(model: Model, k: int, sums: list[int]) -> Model:
+    """The model with the discounts of order k. What wasn't asked for are training types of one token each."""
+    of_counts, tokens, types = np.array(sums[: K + 2]), sums[-2], sums[-1]
+    if k > 1:
+        of_counts[1] += model.tokens - tokens
+    discounts = good_turing(of_counts)
+    model = replace(model, discounts=model.discounts | {k: discounts})
+    if k > 1 or not tokens:
+        return model
     r = np.arange(1, K + 1)
-    low = of_counts[1 : K + 1]
-    larger_types, larger_tokens = rare_types - int(low.sum()), rare_tokens - int((r * low).sum())
-    return float((low * discounts(r)).sum()) + larger_tokens - discounts.off * larger_types
-
-
-def learn_pairs(table: DataFrame, words: Words) -> Model:
-    """Discounts and backoff weights from the table of pair counts."""
-    pairs = good_turing(_of_counts(table)[0])
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = words.begin + 1
-        for pdf in batches:
-            for keys, counts in zip(pdf["keys"], pdf["counts"]):
-                keys, counts = np.asarray(keys), np.asarray(counts)
-                before, now = keys >> 32, keys & 0xFFFFFFFF
-                cut = [np.bincount(before, weights=w, minlength=n) for w in (counts, pairs(counts), words.counts[now], np.ones(len(now)))]
-                used = np.flatnonzero(cut[0])
-                yield pd.DataFrame(dict(zip(("before", "n", "kept", "below", "types"), (used, *(c[used] for c in cut)))))
-
-    by_context = table.select("keys", "counts").mapInPandas(sums, "before long, n double, kept double, below double, types double")
-    pdf = by_context.groupBy("before").agg(*[F.sum(c).alias(c) for c in ("n", "kept", "below", "types")]).toPandas()
-    context, backoff = np.zeros(words.begin + 1), np.ones(words.begin + 1)
-    total = words.class_total
-    for before, n, kept, below, types in pdf.itertuples(index=False):
-        context[before], backoff[before] = divisor_and_backoff(n, kept, below / total, types == len(words.counts))
-    return Model(words, pairs, context, backoff, table)
-
-
-def divisor_and_backoff(n: float, kept: float, below: float, every_class: bool) -> tuple[float, float]:
-    """A context's divisor and backoff weight from its count, discounted sum, and the unigram mass of its seen classes."""
-    if every_class:
-        return kept, 0.0
-    divisor = n if n - kept > 1e-9 * n else n + 1
-    return divisor, (1 - kept / divisor) / (1 - below)
-
-
-def fit(docs: DataFrame, held_out: Column) -> tuple[Model, DataFrame, DataFrame]:
-    """(model, blocks, answers): learns from rows that aren't held out; answers hold what each block asked for."""
-    blocks = tokenised(docs, held_out)
-    size = blocks.agg(F.sum(F.size("hashes")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)), F.count("*")).first()
-    n_words, n_tokens, n_blocks = (int(x or 0) for x in size)
-    buckets = max(1, -(-n_words // (BUCKET_ROWS * 16)))
-    word_rows = shared_table(_answered(word_questions(blocks, buckets)), "katz-words", "part")
-    words = learn_words(word_rows.where("part = 'table'"))
-    pair_buckets = max(1, -(-n_tokens // (BUCKET_ROWS * 64)))
-    pair_rows = shared_table(_answered(pair_questions(blocks, words, pair_buckets)), "katz-pairs", "part")
-    model = learn_pairs(pair_rows.where("part = 'table'"), words)
-    answers = word_rows.where("part = 'answer'").withColumn("kind", F.lit("word")).unionByName(pair_rows.where("part = 'answer'").withColumn("kind", F.lit("pair")))
-    answers = answers.withColumn("buckets", F.when(F.col("kind") == "word", buckets).otherwise(pair_buckets))
-    return model, blocks, answers.select("kind", "bucket", "buckets", "block", "counts")
-
-
-def token_scores(model: Model, pairs: np.ndarray, pair_counts: np.ndarray, word_counts: np.ndarray) -> np.ndarray:
-    """log10 probabilities of tokens from their pairs of classes, the pairs' counts and the words' counts."""
-    words = model.words
-    before, now = pairs >> 32, pairs & 0xFFFFFFFF
-    below = words.counts[now] / words.class_total
-    divisor = np.where(model.context[before] > 0, model.context[before], 1.0)
-    p = np.where(pair_counts > 0, model.pairs(pair_counts) / divisor, model.backoff[before] * below)
-    share = np.where(word_counts > 0, words.rare(word_counts) / max(words.counts[-1], 1), words.rare_free)
-    return np.log10(np.maximum(np.where(now == len(words.hashes), p * share, p), 1e-300))
+    freed = (of_counts[1 : K + 1] * (r - discounts(r))).sum() + discounts.off * (types - of_counts[1 : K + 1].sum())
+    return replace(model, tokens=tokens, types=types, unseen=float(freed / tokens))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(model: Model, blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """A row for each document: its tokens, how many are known, the unigram base score and the model's score."""
-    bounded = Model(model.words, model.pairs, model.context, model.backoff, None)
-
-    def restore(asked: np.ndarray, answers: pd.DataFrame) -> np.ndarray:
-        """Answers in the order of the block's sorted keys."""
-        out = np.zeros(len(asked), np.int64)
-        if len(asked):
-            bucket = _bucket_of(asked, int(answers["buckets"].iloc[0]))
-            for b, counts in zip(answers["bucket"], answers["counts"]):
-                out[bucket == b] = counts
-        return out
-
-    def score(key, block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        r, words = block.iloc[0], bounded.words
-        tokens, hashes, lengths = _tokens(r.tokens), np.asarray(r.hashes), np.asarray(r.lengths)
-        order = np.argsort(hashes, kind="stable")
-        counts = np.empty(len(hashes), np.int64)
-        counts[order] = restore(hashes[order], answers[answers["kind"] == "word"])
-        pairs = _pairs(tokens, lengths, words.classes(hashes), words.begin)
-        keys, inverse = np.unique(pairs, return_inverse=True)
-        known = restore(keys, answers[answers["kind"] == "pair"])
-        word_counts = counts[tokens]
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        base = np.log10((counts + 0.5) / (words.tokens + 0.5 * (words.types + 1)))
-        total = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(r.doc_ids, dtype="Int64"), "held_out": np.asarray(r.held, dtype=bool), "n_tokens": lengths, "n_known": total((word_counts > 0).astype(np.int64)),
-                "train_tokens": words.tokens, "base_score": total(base[tokens]), "score": total(token_scores(bounded, pairs, known[inverse], word_counts)),
-            }
-        )
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, SCORED)
-
-
-def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Learns from the rows that aren't held out and scores all rows of `docs` (doc_id, text)."""
-    return scores(*fit(docs, held_out))
+def _scored(state: DataFrame, model: Model) -> DataFrame:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                block = Block(row, model)
+                times = block.counts(1)[0]
+                base = np.log10((times + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
+                total = lambda x: np.add.reduceat(x, block.starts)
+                ids = pd.arrays.IntegerArray(np.array(row.doc_ids, dtype=np.int64), np.array(row.nameless, dtype=bool))
+                yield pd.DataFrame(
+                    {
+                        "doc_id": ids, "held_out": block.held_texts, "n_tokens": block.lengths, "n_known": total((times > 0).astype(np.int64)),
+                        "train_tokens": model.tokens, "base_score": total(base), "score": total(block.scores()),
+                    }
+                )
+
+    return state.mapInPandas(score, SCORED)
+
+
+def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
+    """Learns from the rows that aren't held out and scores all rows of `docs` (doc_id, text): its tokens, how many are
+    known, the unigram base score and the model's score."""
+    scratch = Scratch(docs.sparkSession, "katz")
+    blocks = tokenised(docs, held_out, scratch)
+    tokens = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+    taught = F.size(F.filter("held", lambda x: ~x))
+    sizes = blocks.agg(F.sum(F.octet_length("words")), F.sum(tokens), F.sum(taught)).first()
+    n_words, n_tokens, texts = (int(x or 0) for x in sizes)
+    few, many = (max(1, -(-n // BUCKET_KEYS)) for n in (n_words // 8, n_tokens))
+    kinds = {f"{what}{k}": few if k == 1 else many for what in ("gram", "alpha") for k in range(1, order + 1)}
+    model, state = Model(order, texts=texts, buckets=kinds), blocks
+    asked = [("gram", k) for k in range(1, min(order, 2) + 1)]
+    for k in range(2, order + 2):
+        table, sums = _round(state, model, asked, f"round{k - 1}", scratch)
+        state = state.join(table, "block", "left")
+        for what, n in asked:
+            if what == "gram":
+                model = _learned(model, n, sums.get(f"gram{n}", [0] * (K + 4)))
+        asked = [("gram", k + 1)] * (k < order) + [("alpha", k - 1)]
+    result = shared_table(_scored(state, model), "katz-scores")
+    scratch.clear()
+    return result

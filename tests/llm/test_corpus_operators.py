@@ -52,63 +52,63 @@ def test_katz_base_columns(spark):
     assert sum(r.score for r in got if r.held_out) / tokens > sum(r.base_score for r in got if r.held_out) / tokens
 
 
-def brute_katz(texts, held):
-    """A second, direct reading of the model: returns P(word | word before)."""
-    docs = {d: (t or "").encode().lower().split() + [b""] for d, t in texts}
-    train = [ws for d, ws in docs.items() if not held[d]]
-    c = Counter(w for ws in train for w in ws)
-    n = sum(c.values())
-    of = lambda counts: np.array([0] + [sum(v == r for v in counts.values()) for r in range(1, 7)])
-    least = max(6, -(-n // 2**17))
-    cls = lambda w: w if c[w] >= least else "RARE"
-    uni = Counter(cls(w) for ws in train for w in ws)
-    uni["RARE"] = max(uni["RARE"], 1)
-    pairs = Counter()
-    for ws in train:
-        before = "BEGIN"
-        for w in ws:
-            pairs[before, cls(w)] += 1
-            before = cls(w)
-    d1, d2 = katz.good_turing(of(c)), katz.good_turing(of(pairs))
-    rare = {w: float(d1(v)) for w, v in c.items() if v < least}
-    free = 1 - sum(rare.values()) / uni["RARE"] if any(v < least for v in c.values()) else 1.0
-    total = sum(uni.values())
-    by = defaultdict(dict)
-    for (h, w), v in pairs.items():
-        by[h][w] = v
-
-    def p(h, w):
-        k = cls(w)
-        seen = by.get(h, {})
+class BruteKatz:
+    """A second, direct reading of the model over whole words: P(word | history) by recursion, nothing merged or left out."""
+
+    def __init__(self, train, order):
+        self.order, self.counts = order, [Counter() for _ in range(order + 1)]
+        for ws in train:
+            padded = ["<s>"] * (order - 1) + ws
+            for i in range(order - 1, len(padded)):
+                for k in range(1, order + 1):
+                    self.counts[k][tuple(padded[i - k + 1 : i + 1])] += 1
+        of = lambda c: np.array([0] + [sum(v == r for v in c.values()) for r in range(1, 7)])
+        self.d = [None] + [katz.good_turing(of(c)) for c in self.counts[1:]]
+        self.after = defaultdict(dict)
+        for c in self.counts[1:]:
+            for g, v in c.items():
+                self.after[g[:-1]][g[-1]] = v
+        self.n = sum(self.counts[1].values())
+        self.unseen = 1 - sum(float(self.d[1](v)) for v in self.counts[1].values()) / self.n
+
+    def p(self, history, w):
+        if not history:
+            c = self.counts[1][(w,)]
+            return float(self.d[1](c)) / self.n if c else self.unseen
+        seen = self.after.get(history)
         if not seen:
-            out = uni[k] / total
-        else:
-            kept, count = sum(float(d2(v)) for v in seen.values()), sum(seen.values())
-            divisor = kept if len(seen) == len(uni) else count if count - kept > 1e-9 * count else count + 1
-            alpha = 0 if len(seen) == len(uni) else (1 - kept / divisor) / (1 - sum(uni[x] for x in seen) / total)
-            out = float(d2(seen[k])) / divisor if k in seen else alpha * uni[k] / total
-        if k == "RARE":
-            out *= rare[w] / uni["RARE"] if c[w] else free
-        return out
-
-    return docs, cls, c, p, [*by, "NEW"]
-
-
-def test_katz_scores_and_normalisation(spark):
+            return self.p(history[1:], w)
+        n, d = sum(seen.values()), self.d[len(history) + 1]
+        if w in seen:
+            return float(d(seen[w])) / n
+        alpha = (1 - sum(float(d(v)) for v in seen.values()) / n) / (1 - sum(self.p(history[1:], x) for x in seen))
+        return alpha * self.p(history[1:], w)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_scores_and_normalisation(spark, monkeypatch, order):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz, "BUCKET_KEYS", 200)
     rng = random.Random(2)
     words = [f"w{min(int(rng.expovariate(0.12)), 90)}" for _ in range(4000)]
-    texts = [(i, " ".join(words[i * 13 : i * 13 + rng.randrange(1, 13)])) for i in range(300)] + [(900, None), (901, "Unseen UNSEEN w1")]
-    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in texts}
-    docs, cls, c, p, contexts = brute_katz(texts, held)
-    for h in contexts:
-        assert sum(p(h, w) for w in [*c, b"never"]) == pytest.approx(1, abs=1e-9)
-    for r in katz.score_documents(df, crc_fold("doc_id", 5) == 1).collect():
-        before, score = "BEGIN", 0.0
-        for w in docs[r.doc_id]:
-            score += math.log10(max(p(before, w), 1e-300))
-            before = cls(w)
-        assert r.score == pytest.approx(score, rel=1e-9)
+    texts = [(i, " ".join(words[i * 13 : i * 13 + rng.randrange(1, 13)])) for i in range(300)] + [(900, None), (901, "Unseen UNSEEN w1"), (2**60 + 1, "w1 w2"), (2**60 + 1, "w1 w2"), (None, "w3"), (905, "w2 " * 700)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"block": F.lit(1), "held": F.lit(True), "words": F.lit("x")}).repartition(5)
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
+    tokens = lambda t: (t or "").encode().lower().split() + [b""]
+    model = BruteKatz([tokens(t) for d, t in texts if not held(d)], order)
+    vocabulary = [w for (w,) in model.counts[1]] + [b"never"]
+    for h in rng.sample(sorted(model.after, key=repr), 40) if order > 1 else [()]:
+        assert sum(model.p(h, w) for w in vocabulary) == pytest.approx(1, abs=1e-9)
+    want = defaultdict(list)
+    for d, t in texts:
+        padded = ["<s>"] * (order - 1) + tokens(t)
+        want[d].append(sum(math.log10(model.p(tuple(padded[i - order + 1 : i]), padded[i])) for i in range(order - 1, len(padded))))
+    got = defaultdict(list)
+    for r in katz.score_documents(df, crc_fold("doc_id", 5) == 1, order).collect():
+        got[r.doc_id].append(r.score)
+    assert set(got) == set(want)
+    for d in want:
+        assert sorted(got[d]) == pytest.approx(sorted(want[d]), rel=1e-9)
 
 
 def test_katz_odd_rows(spark, odd):
@@ -117,12 +117,14 @@ def test_katz_odd_rows(spark, odd):
     assert katz.score_documents(odd.limit(0), F.lit(False)).count() == 0
     none = katz.score_documents(odd, F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in none)
+    long = spark.createDataFrame([(1, "ab cd " * 400_000), (2, "x"), (3, "y" * 3_000_000)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in katz.score_documents(long, F.col("doc_id") == 2).collect()) == [2, 2, 800_001]
 
 
 def test_good_turing():
     d = katz.good_turing(np.array([0, 100, 40, 20, 12, 8, 6]))
-    assert d.off == 0 and ((d.low[1:] > 0) & (d.low[1:] < 1)).all()
-    assert katz.good_turing(np.array([0, 5, 0, 0, 0, 0, 0])).off == 0.5
+    assert d.off == pytest.approx(5 * (1 - d.low[5])) and ((d.low[1:] > 0) & (d.low[1:] < 1)).all()
+    assert katz.good_turing(np.array([0, 5, 0, 0, 0, 0, 0])).off == pytest.approx(0.5)
 
 
 # Mixing
