@@ -18,7 +18,9 @@ ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: whole documents travel in them."""
+    """Small Arrow batches: whole documents travel in them. Shuffle files go when the job that made them is over: what is needed
+    later is written to tables first."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

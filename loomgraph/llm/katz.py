@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ ORDER = 3
 K = 5
 BLOCK_TOKENS = 2**20
 #: Keys of all blocks in one bucket, about.
-BUCKET_KEYS = 2**20
+BUCKET_KEYS = 2**19
 END = b""
 #: Histories of begin marks alone, by length.
 BEGIN = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i in range(16)]
@@ -87,10 +88,20 @@ class Model:
     unseen: float = 1.0  # probability of all words that training hasn't seen
 
 
-def _compress(data: bytes) -> bytes:
+@cache
+def _zstandard():
+    """A compressor and a decompressor for all of a task: making them costs more than most of what they are given."""
     import zstandard
 
-    return zstandard.compress(data, 1)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _compress(data: bytes) -> bytes:
+    return _zstandard()[0].compress(data)
+
+
+def _decompress(data: bytes) -> bytes:
+    return _zstandard()[1].decompress(data)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -109,9 +120,7 @@ def packed(*columns: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.decompress(data)
+    raw = _decompress(data)
     n = len(raw) // (8 * len(dtypes))
     return [_of_planes(raw[i * 8 * n : (i + 1) * 8 * n], d, n) for i, d in enumerate(dtypes)]
 
@@ -173,8 +182,6 @@ class Block:
     """A block's tokens, and their counts as far as rounds have answered."""
 
     def __init__(self, row, model: Model):
-        import zstandard
-
         self.model, self.lengths = model, np.asarray(row.lengths)
         self.held_texts = np.asarray(row.held, dtype=bool)
         self.held = np.repeat(self.held_texts, self.lengths)
@@ -182,7 +189,7 @@ class Block:
         self.starts = self.ends - self.lengths
         self.size = int(self.ends[-1])
         words = np.frombuffer(row.words, np.uint64)
-        self.grams = {1: words[_of_planes(zstandard.decompress(row.tokens), np.int32, self.size)]}
+        self.grams = {1: words[_of_planes(_decompress(row.tokens), np.int32, self.size)]}
         self.answers: dict[str, dict[int, bytes]] = {}
         for name in row.index:
             for x in row[name] if name.startswith("answers") and row[name] is not None else ():
@@ -305,7 +312,7 @@ ASKED = "kind string, bucket int, keys binary, values binary, wanted boolean, bl
 ANSWERED = "kind string, bucket int, data binary, block long, of_counts array<long>"
 
 
-def _merged(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """A bucket's answers to its questions, and for n-grams a row of counts of counts (0 to K + 1), tokens and types."""
     kind, bucket = key
     grams = kind.startswith("gram")

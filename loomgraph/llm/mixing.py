@@ -129,11 +129,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows with the same doc_id and size can't be told apart by the mix: together they get what it takes of them.
     """
     repeats = mix_documents(docs).where("taken > 0").select("doc_id", "size", (F.col("taken") / F.col("size")).cast("long").alias("times"))
-    taken = repeats.groupBy(F.col("doc_id").alias("of_id"), F.col("size").alias("of_size")).agg(F.sum("times").alias("times"))
-    size, rank, times = (free_name(docs, x) for x in ("mix_size", "mix_rank", "mix_times"))
-    taken = taken.withColumnRenamed("times", times)
+    size, rank, times, of_id, of_size = (free_name(docs, x) for x in ("mix_size", "mix_rank", "mix_times", "of_id", "of_size"))
+    taken = repeats.groupBy(F.col("doc_id").alias(of_id), F.col("size").alias(of_size)).agg(F.sum("times").alias(times))
     same = W.partitionBy("doc_id", size).orderBy(F.xxhash64("text"))
-    rows = docs.withColumn(size, words(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col(size) == F.col("of_size")))
+    rows = docs.withColumn(size, words(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(size) == F.col(of_size)))
     rows = rows.withColumn(rank, F.row_number().over(same)).withColumn(size, F.count("*").over(W.partitionBy("doc_id", size)))
     copies = F.floor(F.col(times) / F.col(size)) + F.when(F.col(rank) <= F.col(times) % F.col(size), 1).otherwise(0)
     return rows.withColumn(rank, F.explode(F.sequence(F.lit(0), copies.cast("int")))).where(F.col(rank) > 0).select(*docs.columns)

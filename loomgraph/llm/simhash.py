@@ -37,7 +37,7 @@ PAIR_BUCKET = 64
 STARTS = [7 * i for i in range(SEGMENTS)]
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The signed 64-bit SimHash of a text's lower-cased word shingles."""
     import numpy as np
     import xxhash
@@ -47,15 +47,22 @@ def fingerprint(text: str | None) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     data = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         hashes = [digest(data, 42)]
     else:
         ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-SHINGLE].tolist()]
-        hashes = [digest(data[a:b], 42) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())]
+        starts = [0, *ends[:-shingle].tolist()]
+        hashes = [digest(data[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(hashes) -> int:
+    """The bits that over half the hashes set, as a signed number."""
+    import numpy as np
+
     total, bits = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, total, 65_536):
-        block = np.array(hashes[at : at + 65_536], dtype=">u8")
+        block = hashes[at : at + 65_536].astype(">u8")
         bits += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > total).view(">i8")[0])
 
@@ -150,19 +157,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, root) of distinct fingerprints `fp`: root is the smallest one that links of at most TAU bits reach."""
+    roots = components(links(prints)).withColumnRenamed("node", "fp")
+    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id."""
     prints = checkpointed(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(classes(distinct.select("fp")), "fp")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each class; of repeated rows one. Rows without doc_id all stay."""
-    ids = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    of_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -187,7 +187,7 @@ def test_mix_of_odd_rows(spark, odd):
     rows = mixing.mix_documents(odd).collect()
     assert len(rows) == len(ODD) and all(r.taken <= 3 * r.size for r in rows)
     assert mixing.mix_documents(odd.limit(0)).count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
-    assert mixing.mixed_documents(odd.withColumn("mix_size", F.lit(1))).columns == [*odd.columns, "mix_size"]
+    assert mixing.mixed_documents(odd.withColumns({"mix_size": F.lit(1), "of_id": F.lit(1), "taken": F.lit(1)})).columns == [*odd.columns, "mix_size", "of_id", "taken"]
 
 
 # Top-k
@@ -269,8 +269,6 @@ def test_simhash_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {tuple(r) for r in got} == brute_components([(d, brute_print(t)) for d, t, *_ in ODD])
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    kept = simhash.keep_first(odd)
-    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect())[5] <= 1
 
 
 @pytest.mark.parametrize("bucket", [2, 64])
@@ -402,6 +400,16 @@ def brute_similar_classes(rows):
     return {find(d) for d in root}
 
 
+def test_keep_first_of_odd_rows(spark, odd):
+    kept = shingle_join.keep_first(odd.withColumns({"of_id": F.lit(1), "of_key": F.lit(2), "root": F.lit(3)})).collect()
+    assert sorted((r.doc_id for r in kept), key=lambda d: (d is None, d)) == [1, 4, 5, 6, 7, 8, 9, None]
+    # Texts that share an id are judged each by its class.
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "o p q r s t u"), (0, "o p q r s t u"), (None, "o p q r s t u"), (None, "v w"), (None, "v w")]
+    got = shingle_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {tuple(r) for r in got} == {(1, "a b c d e f g"), (1, "h i j k l m n"), (0, "o p q r s t u"), (None, "v w")} and len(got) == 4
+    assert shingle_join.keep_first(odd.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("bucket", [2, 64])
 def test_pipeline_links_near_copies(spark, monkeypatch, bucket):
     monkeypatch.setattr(shingle_join, "PAIR_BUCKET", bucket)
