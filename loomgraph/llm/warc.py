@@ -1,6 +1,6 @@
 """WARC archives compressed with Zstandard: writer and reader.
 
-An archive starts with a skippable frame that holds the dictionary, then has one frame for each record. Spark's text
+An archive starts with a skippable frame that holds the dictionary, then has one frame for each record, `ARCHIVE_RECORDS` at most. Spark's text
 writer makes the files, so they appear in any store Spark can write and only when a task commits: a row is a frame's
 bytes, and the line separator is an empty skippable frame, which readers of the format pass over.
 
@@ -32,6 +32,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Bounds of what the dictionary is trained on, and its size.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 65_536
 LEVEL = 3
+#: Records in one archive at most: some 100 MB of usual pages, so that a reader's task holds an archive at a time.
+ARCHIVE_RECORDS = 20_000
 
 
 class WarcError(ValueError):
@@ -170,10 +172,11 @@ def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.select("page_id", "url", "html", "payload_digest", F.when(revisits, F.col("owner")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archives: int | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archives: int | None = None, records: int = ARCHIVE_RECORDS) -> None:
     """Writes a record for each row of `pages` (page_id, url, html) to Zstandard archives in the folder `path`.
 
-    Each task writes one; a number of archives can be asked for, at the price of one more shuffle.
+    Each task begins an archive, and another one whenever it has written `records`; a number of tasks can be asked for, at the
+    price of one more shuffle.
     """
     words = train_dictionary(pages)
 
@@ -182,18 +185,23 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archives: in
 
         first = DICTIONARY_MAGIC + struct.pack("<I", len(words)) + words
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+        written = 0
         for pdf in batches:
-            out = [first] if first and len(pdf) else []
-            first = first if not len(pdf) else b""
+            out = []
             for page_id, url, html, digested, owner in zip(pdf.page_id, pdf.url, pdf.html, pdf.payload_digest, pdf.refers_to):
-                page_id, owner = (None if pd.isna(x) else int(x) for x in (page_id, owner))
+                page_id, owner = (None if x is None else int(x) for x in (page_id, owner))
+                if written % records == 0:
+                    out.append(first)
+                written += 1
                 out.append(writer.compress(record_bytes(page_id, url, (html or "").encode("utf-8"), digested, owner)))
             yield pd.DataFrame({"frame": out})
 
     typed = record_types(pages, min_bytes)
+    typed = typed.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # whole numbers with nulls lose digits in pandas
     typed = typed.repartition(archives) if archives else typed
     as_text = typed.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    as_text.write.option("lineSep", EMPTY_FRAME).text(path)
+    # The writer begins a file after as many rows as an archive has frames.
+    as_text.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", records + 1).text(path)
 
 
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
