@@ -73,10 +73,11 @@ class Scratch:
         df.write.bucketBy(buckets, column).sortBy(column).option("path", f"{self.path}/{name}").saveAsTable(self.names[-1])
         return self.spark.table(self.names[-1])
 
-    def clear(self) -> None:
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def clear(self, name: str = "") -> None:
+        """Removes one table, or all."""
+        for table in [] if name else self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
