@@ -30,12 +30,14 @@ def _rules(verdict: bool) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-_HITS = " + ".join(f"CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in VOCABULARY.items())
+_TERMS = ", ".join(f"('{t}', {w})" for t, w in VOCABULARY.items())
 
 URLS = rf"""
 WITH split AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
-SELECT page_id, host, path, {_rules(False)} AS rule, coalesce({_rules(True)}, CASE WHEN {_HITS} >= {REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict FROM split"""
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+vocabulary(term, weight) AS (VALUES {_TERMS}),
+heavy AS (SELECT url FROM (SELECT DISTINCT url FROM pages) u, vocabulary WHERE contains(lower(url), term) AND regexp_matches(lower(url), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY url HAVING sum(weight) >= {REJECT_AT})
+SELECT page_id, host, path, {_rules(False)} AS rule, coalesce({_rules(True)}, CASE WHEN url IN (SELECT url FROM heavy) THEN 'block' ELSE 'allow' END) AS verdict FROM split"""
 
 TOP_K = """
 WITH vec AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings

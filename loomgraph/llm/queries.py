@@ -25,8 +25,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
-    ratio = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", quality_rules.verdicts(F.col("text"), ratio).alias("v")).select("doc_id", "v.*")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", quality_rules.verdicts(F.col("text"), rules).alias("v")).select("doc_id", "v.*")
 
 
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

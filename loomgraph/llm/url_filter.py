@@ -6,21 +6,46 @@ Null urls, and urls without `://`, have an empty host and path, fit no rule and
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Terms with their weights. One of STRICT, or soft terms of SOFT weights together, reject.
+#: Weights: one strict term, or soft terms of `REJECT_AT` together, reject.
 STRICT, SOFT = 2, 1
-VOCABULARY: Mapping[str, int] = {
-    **dict.fromkeys(("adult", "casino", "escort", "gambling", "malware", "pills", "porn", "spam", "viagra", "warez", "xxx"), STRICT),
-    **dict.fromkeys(("ads", "bets", "bonus", "cheap", "clicks", "deals", "farm", "free", "track", "win"), SOFT),
-}
+# The production vocabulary, strict terms and soft ones.
+STRICT_TERMS = (
+    "adult", "bitcoin-doubler", "botnet", "camgirls", "casino", "cialis", "counterfeit", "crackz", "darkweb", "erotica", "escort", "escorts", "fake-id", "gambling", "hardcore", "hentai",
+    "hookup", "jackpot", "keygen", "keygens", "levitra", "loan-shark", "malware", "milf", "nsfw", "nude", "nudes", "payday-loan", "phishing", "pills", "poker", "porn", "porno", "pornhub",
+    "ransomware", "roulette", "serialz", "sex", "sexcam", "slots", "spam", "spyware", "steroids", "stripper", "torrentz", "tramadol", "trojan", "viagra", "warez", "xanax", "xxx",
+)
+SOFT_TERMS = (
+    "ads", "affiliate", "banner", "bet", "bets", "betting", "bonus", "buy", "cash", "cheap", "click", "clickbait", "clicks", "coupon", "coupons", "credit", "crypto", "dating", "deals", "debt",
+    "diet", "discount", "doubleclick", "download", "earn", "farm", "followers", "forex", "free", "freebie", "gratis", "hot", "likes", "limited-offer", "loan", "loans", "lottery", "lucky", "luxury",
+    "miracle", "money", "nulled", "offer", "offers", "outlet", "popup", "prize", "promo", "proxy", "replica", "sale", "seo", "singles", "sponsored", "stream", "surveys", "torrent", "track",
+    "tracker", "tracking", "traffic", "unlimited", "vip", "weightloss", "win", "winner",
+)
+#: Digits that stand for letters in disguised terms.
+DISGUISE = str.maketrans("aeios", "43105")
+
+
+def with_disguises(terms: Iterable[str]) -> list[str]:
+    """The terms and their forms with digits for letters."""
+    return list(dict.fromkeys(x for t in terms for x in (t, t.translate(DISGUISE))))
+
+
+def weighted(strict: Iterable[str] = STRICT_TERMS, soft: Iterable[str] = SOFT_TERMS) -> dict[str, int]:
+    """Term to weight; a term of both lists is strict. A table of own terms takes this one's place as a parameter."""
+    return dict.fromkeys(soft, SOFT) | dict.fromkeys(with_disguises(strict), STRICT)
+
+
+VOCABULARY: Mapping[str, int] = weighted()
 REJECT_AT = 2
 
 
@@ -65,10 +90,15 @@ def vocabulary_weight(url: Column, vocabulary: Mapping[str, int] = VOCABULARY) -
     return run(url)
 
 
-def judge(pages, url: str = "url", rules=RULES, vocabulary=VOCABULARY, reject_at: int = REJECT_AT):
-    """`pages` with host, path, rule and verdict."""
-    host, path = host_and_path(F.col(url))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    by_terms = F.when(F.col("term_weight") >= reject_at, "block").otherwise("allow")
-    judged = pages.withColumns({"host": host, "path": path, "term_weight": vocabulary_weight(F.col(url), vocabulary)})
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_terms)})
+def judged(url: Column, rules=RULES, vocabulary: Mapping[str, int] = VOCABULARY, reject_at: int = REJECT_AT) -> dict[str, Column]:
+    """host, path, rule, term_weight and verdict of a url."""
+    host, path = host_and_path(url)
+    rule, verdict = rule_of(host, path, rules)
+    weight = vocabulary_weight(url, vocabulary)
+    return {"host": host, "path": path, "rule": rule, "term_weight": weight, "verdict": F.coalesce(verdict, F.when(weight >= reject_at, "block").otherwise("allow"))}
+
+
+def judge(pages, url: str = "url", rules=RULES, vocabulary: Mapping[str, int] = VOCABULARY, reject_at: int = REJECT_AT):
+    """`pages` with a column `judged`, a struct of host, path, rule, term_weight and verdict, under a name that is free."""
+    of_url = judged(F.col(url), rules, vocabulary, reject_at)
+    return pages.withColumn(free_name(pages, "judged"), F.struct(*[c.alias(n) for n, c in of_url.items()]))

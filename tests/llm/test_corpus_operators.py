@@ -323,6 +323,17 @@ def test_warc_of_the_tables(spark):
     assert Counter(map(tuple, llm.op10_warc_archives(spark, SF).collect())) == brute_warc(rows)
 
 
+def test_warc_rolls_archives(spark, tmp_path):
+    rows = [(i if i else None, f"u{i}", "".join(chr(c) for c in range(i, i + 300))) for i in range(100)] + [(2**60 + 1, "u", "x"), (7, "again", "y"), (7, "again", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload_digest": F.lit(1), "owner": F.lit(2), "frame": F.lit(3)})
+    warc.write_archives(df, str(tmp_path / "r"), archives=2, records=9)
+    files = [p for p in glob.glob(str(tmp_path / "r" / "part-*"))]
+    assert len(files) >= 12 and all(len(list(warc.read_archive(open(p, "rb").read()))) <= 9 for p in files)
+    got = warc.read_archives(spark, str(tmp_path / "r")).collect()
+    assert len(got) == len(rows) and {r.page_id for r in got} == {r[0] for r in rows}
+    assert {bytes(r.payload).decode() for r in got if r.payload is not None} == {r[2] for r in rows}
+
+
 def test_warc_empty_and_small(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(none, str(tmp_path / "e"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,21 +68,39 @@ def test_quality_verdicts(spark, odd):
     bad = [(200 + i, " ".join(f"j{i}x{j}###" for j in range(80)), "en", "a", 1) for i in range(20)]
     docs = odd.unionByName(spark.createDataFrame(good + bad, DOC))
     labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(10)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
-    ratio = quality_rules.fit(docs, labels)
-    rows = {r.doc_id: r.v for r in docs.select("doc_id", quality_rules.verdicts(F.col("text"), ratio).alias("v")).collect()}
+    rules = quality_rules.fit(docs, labels)
+    rows = {r.doc_id: r.v for r in docs.select("doc_id", quality_rules.verdicts(F.col("text"), rules).alias("v")).collect()}
     assert all(rows[100 + i].kept for i in range(20)) and not any(rows[200 + i].kept for i in range(20))
     assert rows[1].base_failed and rows[2].base_failed and not rows[7].kept
-    # Brute force of one score.
-    tokens = quality_rules.TOKEN.findall(good[0][1].lower())
-    hashes = quality_rules.TokenHashes()
-    buckets = [quality_rules.ngram_buckets(t, hashes)[0] for t in tokens] + [quality_rules.ngram_buckets(f"{a} {b}", hashes)[2] for a, b in zip(tokens, tokens[1:])]
-    assert rows[100].score == pytest.approx(np.mean([ratio[int(b)] for b in buckets]))
+    # Brute force of the ratio, the scores and the threshold, with own counts of whole n-grams.
+    bucket = lambda gram: int(quality_rules.ngram_buckets(gram, quality_rules.TokenHashes())[-1])
+
+    def grams(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+        return tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
+
+    held = [d for d in range(100, 110) if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert held
+    raw, trusted = Counter(), Counter()
+    for d, text, *_ in ODD + good + bad:
+        raw.update(map(bucket, grams(text)))
+        if d in range(100, 110) and d not in held:
+            trusted.update(map(bucket, grams(text)))
+    size = quality_rules.BUCKETS
+    ratio = lambda b: math.log((trusted[b] + 1) / (trusted.total() + size)) - math.log((raw[b] + 1) / (raw.total() + size))
+    score = {d: float(np.mean([ratio(bucket(g)) for g in grams(t)])) if grams(t) else 0.0 for d, t, *_ in ODD[:4] + good + bad}
+    assert {d: rows[d].score for d in score} == pytest.approx(score)
+    low, middle = np.percentile([score[d] for d in held], [1, 50])
+    assert rules.threshold == pytest.approx(middle - 3 * max(middle - low, 0.1))
 
 
 def test_quality_without_labels_or_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert not quality_rules.fit(odd, none).any()
-    assert not quality_rules.fit(odd.limit(0), none).any()
+    for docs in (odd, odd.limit(0)):
+        rules = quality_rules.fit(docs, none)
+        assert not rules.ratio.any() and rules.threshold == -math.inf
+    clash = odd.withColumns({"n_words": F.lit(1), "kept": F.lit(2), "score": F.lit(3)})
+    assert clash.select("*", quality_rules.verdicts(F.col("text"), rules).alias("v")).where("v.kept").count() == 0
 
 
 def test_language_id_on_held_out_rows(spark):
@@ -107,7 +128,15 @@ def test_url_filter(spark):
         "http://free.com/": ("free.com", "/", None, "allow"), "http://free-bets.com/": ("free-bets.com", "/", None, "block"), "http://free.com/free": ("free.com", "/free", None, "allow"), "a://b?c://d/e": ("b", "", None, "allow"),
     }
     df = spark.createDataFrame([(u,) for u in cases], "url string")
-    assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()} == cases
+    cases |= {"http://v14gr4.com/": ("v14gr4.com", "/", None, "block"), "http://x.com/" + "a" * 1_000_000: ("x.com", "/" + "a" * 1_000_000, None, "allow"), "": ("", "", None, "allow")}
+    df = spark.createDataFrame([(u, u) for u in [*cases, None]], "url string, judged string").withColumns({"host": F.lit(1), "rule": F.lit(2)})
+    rows = url_filter.judge(df).collect()
+    assert len(rows) == len(cases) + 1 and {r.url: (r._judged.host, r._judged.path, r._judged.rule, r._judged.verdict) for r in rows} == cases
+    assert all(r.host == 1 and r.rule == 2 and r.judged == r.url for r in rows)
+    assert url_filter.judge(df.limit(0)).count() == 0
+    own = url_filter.weighted(["alpha"], ["beta", "gamma"])
+    asked = spark.createDataFrame([("a://x/alpha",), ("a://x/beta",), ("a://x/beta-gamma",), ("a://x/4lph4",)], "url string")
+    assert [r.judged.verdict for r in url_filter.judge(asked, vocabulary=own).collect()] == ["block", "allow", "block", "block"]
 
 
 def test_token_counts(spark, odd, library):
