@@ -40,11 +40,11 @@ heavy AS (SELECT url FROM (SELECT DISTINCT url FROM pages) u, vocabulary WHERE c
 SELECT page_id, host, path, {_rules(False)} AS rule, coalesce({_rules(True)}, CASE WHEN url IN (SELECT url FROM heavy) THEN 'block' ELSE 'allow' END) AS verdict FROM split"""
 
 TOP_K = """
-WITH vec AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH vec AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM vec q, vec c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
-SELECT * FROM ranked WHERE rank <= 5"""
+scored AS (SELECT q.vec_id AS query_id, q.r AS query_row, c.vec_id, c.r, list_dot_product(q.v, c.v)::BIGINT AS score FROM vec q, vec c WHERE q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, r)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 _BASE32 = "list_aggregate(list_transform(range(0, 8), lambda i: {0}), 'string_agg', '')".format(
     " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i + 1)::BIGINT, 5))::BIGINT >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))

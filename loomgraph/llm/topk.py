@@ -7,9 +7,11 @@ At a threshold above 1 the whole block is pruned by length. From `COORDINATE_FRO
 coordinate: in each of the query's largest coordinates the unit vector must lie in the interval that the threshold
 leaves. Below that, they are pruned by their own length. What remains is verified by exact integer products.
 
-Work is dealt out as pairs of a query block and a vector block, each of bounded size. Vectors that are null, or hold null
-or non-finite components, take no part; vectors are compared with those of the same dimension only. Rows that share a
-vec_id count once (the smallest vector). Zero vectors score 0. Ties go to the smaller vec_id. Empty input: empty result.
+Work is dealt out as pairs of a query block and a vector block, each of bounded size. A block's length and the least bound of a
+query block decide before anything is shipped whether the two must meet (`meetings`); vectors go to no other. Vectors that are
+null, or hold null or non-finite components, take no part; vectors are compared with those of the same dimension only. Rows
+that share a vec_id are all candidates, each query row has a result of its own, and only that row itself is left out. Rows
+without vec_id take no part. Zero vectors score 0. Ties go to the smaller vec_id. Other columns aren't read. Empty input: empty result.
 """
 
 from __future__ import annotations
@@ -35,26 +37,26 @@ SLACK = 1e-9
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vec, norm2): one row of integer components for each vec_id that takes part."""
+    """(row, vec_id, vec, norm2): integer components of each row that takes part; `row` numbers them."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
     rows = vectors.where("embedding is not null and vec_id is not null").where(finite).select("vec_id", whole.alias("vec"))
-    rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     return rows.withColumn("norm2", F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + x * x))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(block, dim, ids, flat, longest): rows in order of length, cut into blocks of at most `size` rows."""
+    """(block, dim, ids, rows, flat, longest): rows in order of length, cut into blocks of at most `size` rows."""
     parts = max(1, -(-rows.count() // size))
-    ordered = rows.repartitionByRange(parts, F.col("norm2").desc(), "vec_id").withColumn("at", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(parts, F.col("norm2").desc(), "vec_id", "row").withColumn("at", F.monotonically_increasing_id())
     placed = checkpointed(ordered.withColumn("part", F.shiftright("at", 33)))
     # One row for each part: where it starts in the whole order.
     upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     rank = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
     cut = placed.join(starts, "part").withColumn("cut", F.floor(rank / size)).withColumn("dim", F.size("vec"))
-    grouped = cut.groupBy("dim", "cut").agg(F.collect_list(F.struct("vec_id", "vec")).alias("rows"), F.max("norm2").alias("longest"))
-    blocks = checkpointed(grouped.select("dim", "cut", "longest", F.col("rows.vec_id").alias("ids"), F.flatten("rows.vec").alias("flat")))
+    grouped = cut.groupBy("dim", "cut").agg(F.collect_list(F.struct("vec_id", "row", "vec")).alias("all"), F.max("norm2").alias("longest"))
+    blocks = checkpointed(grouped.select("dim", "cut", "longest", F.col("all.vec_id").alias("ids"), F.col("all.row").alias("rows"), F.flatten("all.vec").alias("flat")))
     # Blocks are few, one for thousands of vectors; their numbers are given without the vectors.
     numbers = blocks.select("dim", "cut").withColumn("block", F.row_number().over(W.partitionBy("dim").orderBy("cut")) - 1)
     return checkpointed(blocks.join(numbers, ["dim", "cut"]).drop("cut"))
@@ -88,52 +90,63 @@ def best_of_block(queries: np.ndarray, bounds: np.ndarray, vectors: np.ndarray,
             yield i, np.flatnonzero(norms * qnorms[i] >= bound - SLACK * bound)
 
 
+def meetings(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_block, dim, block): blocks that may hold one of the best of some query of a query block. Only lengths are joined."""
+    reach = asked.select("query_block", "dim", "reach").alias("q")
+    lengths = blocks.select("block", "dim", "longest").alias("b")
+    near = F.sqrt("b.longest") >= F.col("q.reach") * (1 - SLACK)
+    return reach.join(lengths, (F.col("q.dim") == F.col("b.dim")) & near).select("query_block", "q.dim", "block")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer products of each query with all rows but its own."""
     whole = checkpointed(integer_vectors(vectors))
     blocks = _blocks(whole, BLOCK)
-    asked = _blocks(whole.where(is_query), QUERY_BLOCK).select(F.col("block").alias("query_block"), "dim", F.col("ids").alias("query_ids"), F.col("flat").alias("query_flat"))
-    counts = blocks.groupBy("dim").agg(F.count("*").cast("int").alias("n_blocks"))
-    query_counts = asked.groupBy("dim").agg(F.count("*").cast("int").alias("n_queries"))
+    asked = _blocks(whole.where(is_query), QUERY_BLOCK)
+    asked = asked.select(F.col("block").alias("query_block"), "dim", *[F.col(c).alias(f"query_{c}") for c in ("ids", "rows", "flat")])
 
     def matrix(flat, rows: int) -> np.ndarray:
         return np.asarray(flat, dtype=np.float64).reshape(rows, len(flat) // rows)
 
-    def ranked(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        return np.lexsort((ids, -scores))[:k]
-
-    def first(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def first(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for q in left.itertuples():
             queries = matrix(q.query_flat, len(q.query_ids))
             bounds = np.full(len(q.query_ids), np.nan)
             for b in right.itertuples():
                 scores = queries @ matrix(b.flat, len(b.ids)).T
-                scores[np.asarray(q.query_ids)[:, None] == np.asarray(b.ids)[None]] = -np.inf
+                scores[np.asarray(q.query_rows)[:, None] == np.asarray(b.rows)[None]] = -np.inf
                 if scores.shape[1] > k:
                     bounds = np.partition(scores, -k, axis=1)[:, -k]
-            out.append((q.query_block, q.dim, q.query_ids, q.query_flat, np.where(np.isfinite(bounds), bounds, np.nan)))
-        return pd.DataFrame(out, columns=["query_block", "dim", "query_ids", "query_flat", "bounds"])
-
-    def pair(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            bounds = np.where(np.isfinite(bounds), bounds, np.nan)
+            lengths = np.sqrt((queries**2).sum(axis=1))
+            # The shortest vector that can still reach some query's bound; without a bound above 0 any can.
+            open_ = np.isnan(bounds) | (bounds <= 0) | (lengths == 0)
+            reach = np.where(open_, 0.0, bounds / np.maximum(lengths, 1e-300)).min()
+            out.append((q.query_block, q.dim, q.query_ids, q.query_rows, q.query_flat, bounds, reach))
+        return pd.DataFrame(out, columns=["query_block", "dim", "query_ids", "query_rows", "query_flat", "bounds", "reach"])
+
+    def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for q in left.itertuples():
-            queries, query_ids = matrix(q.query_flat, len(q.query_ids)), np.asarray(q.query_ids)
+            queries, query_ids, query_rows = matrix(q.query_flat, len(q.query_ids)), np.asarray(q.query_ids), np.asarray(q.query_rows)
             for b in right.itertuples():
-                vectors, ids = matrix(b.flat, len(b.ids)), np.asarray(b.ids)
-                for i, rows in best_of_block(queries, np.asarray(q.bounds, dtype=float), vectors, float(np.sqrt(b.longest)), k):
-                    rows = rows[ids[rows] != query_ids[i]]
-                    scores = vectors[rows] @ queries[i]
-                    out += [(query_ids[i], ids[rows[j]], int(scores[j])) for j in ranked(ids[rows], scores)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    bounded = "query_block int, dim int, query_ids array<long>, query_flat array<long>, bounds array<double>"
-    seeded = asked.withColumn("block", F.lit(0)).groupBy("query_block", "dim", "block")
-    seeds = blocks.where("block = 0").join(query_counts, "dim").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)))
-    with_bounds = checkpointed(seeded.cogroup(seeds.groupBy("query_block", "dim", "block")).applyInPandas(first, bounded))
-
-    every = with_bounds.join(counts, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    spread = blocks.join(query_counts, "dim").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)))
-    found = every.groupBy("query_block", "dim", "block").cogroup(spread.groupBy("query_block", "dim", "block")).applyInPandas(pair, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                vectors, ids, own = matrix(b.flat, len(b.ids)), np.asarray(b.ids), np.asarray(b.rows)
+                for i, at in best_of_block(queries, np.asarray(q.bounds, dtype=float), vectors, float(np.sqrt(b.longest)), k):
+                    at = at[own[at] != query_rows[i]]
+                    scores = vectors[at] @ queries[i]
+                    best = np.lexsort((own[at], ids[at], -scores))[:k]
+                    out += [(query_ids[i], query_rows[i], ids[at[j]], own[at[j]], int(scores[j])) for j in best]
+        return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "row", "score"])
+
+    bounded = "query_block int, dim int, query_ids array<long>, query_rows array<long>, query_flat array<long>, bounds array<double>, reach double"
+    asking = asked.select(F.col("dim").alias("for_dim"), F.col("query_block").alias("for_block"))
+    seeds = blocks.where("block = 0").join(asking, F.col("dim") == F.col("for_dim"))
+    with_bounds = checkpointed(asked.groupBy("query_block", "dim").cogroup(seeds.groupBy("for_block", "for_dim")).applyInPandas(first, bounded))
+
+    met = checkpointed(meetings(with_bounds, blocks))
+    every = with_bounds.join(met, ["query_block", "dim"])
+    spread = blocks.join(met.select(F.col("query_block").alias("for_block"), F.col("dim").alias("for_dim"), F.col("block").alias("met")), (F.col("met") == F.col("block")) & (F.col("dim") == F.col("for_dim")))
+    found = every.groupBy("query_block", "dim", "block").cogroup(spread.groupBy("for_block", "for_dim", "met")).applyInPandas(pair, "query_id long, query_row long, vec_id long, row long, score long")
+    order = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -194,17 +194,17 @@ def test_mix_of_odd_rows(spark, odd):
 
 
 def brute_top(rows, k=5):
-    vecs = {}
-    for i, v, _ in rows:
+    """Results as a sorted list; rows that share an id are rows of their own."""
+    vecs = []
+    for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole = tuple(math.floor(256 * x) for x in map(float, np.array(v, np.float32)))
-            vecs[i] = min(vecs.get(i, whole), whole)
-    out = set()
-    for q, v in vecs.items():
+            vecs.append((i, tuple(math.floor(256 * x) for x in map(float, np.array(v, np.float32)))))
+    out = []
+    for n, (q, v) in enumerate(vecs):
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vecs.items() if i != q and len(w) == len(v))
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])}
-    return out
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(vecs) if m != n and len(w) == len(v))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("unit", [True, False])
@@ -217,14 +217,27 @@ def test_top_k(spark, monkeypatch, unit):
     v[100:140] = v[50]
     rows = [(i, [float(x) for x in np.float32(r)], 0) for i, r in enumerate(v)]
     rows += [(800, None, 0), (850, [1.0, None], 0), (900, [math.nan] * 12, 0), (950, [math.inf] * 12, 0), (1000, [0.0] * 12, 0), (1050, [1.0, 2.0], 0), (1051, [1.0, 1.0], 0), (1100, [], 0), (50, [float(x) for x in np.float32(v[50])], 1), (None, [1.0, 2.0], 0)]
+    rows += [(1200, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.0], 0), (1200, [1.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(7)
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_top(rows)
+    clash = df.withColumns({"row": F.lit(0), "block": F.lit(1), "dim": F.lit(2), "vec": F.lit(3), "norm2": F.lit(4)})
+    assert sorted(tuple(r) for r in topk.top_k(clash, F.col("vec_id") % 50 == 0).collect()) == brute_top(rows)
+
+
+def test_top_k_ships_only_blocks_that_are_long_enough(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    shipped, meetings = [], topk.meetings
+    monkeypatch.setattr(topk, "meetings", lambda *a: shipped.append(meetings(*a).count()) or meetings(*a))
+    # The first 20 rows are a hundred times as long as all others and point where the queries do.
+    rows = [(i, [float((100 if i < 20 else 1) * (1 + i % 7)), 1.0, 0.5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == brute_top(rows)
+    assert shipped[0] <= 6 < 2 * 20  # of 2 query blocks by 20 blocks
 
 
 def test_top_k_of_the_tables(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
-    assert {tuple(r) for r in llm.op6_exact_top_k(spark, SF).collect()} == brute_top(rows)
+    assert sorted(tuple(r) for r in llm.op6_exact_top_k(spark, SF).collect()) == brute_top(rows)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(empty, F.lit(True)).count() == 0
 
