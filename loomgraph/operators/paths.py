@@ -12,10 +12,14 @@ from .build import Graph
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it isn't set."""
+    """The cluster's spark.checkpoint.dir; on one machine (a local master) a temporary folder where it isn't set."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,12 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reached(graph: Graph, starts: DataFrame, max_hops: int) -> DataFrame:
-    """Nodes reachable from `starts` (id): id, hops and the smallest path (ids) of that length."""
+def reached(graph: Graph, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Nodes reachable from `starts` (id), however far without `max_hops`: id, hops and the smallest path (ids) of that length."""
     sides = cut(graph.sides.select("id", "other").where("id <> other"))
     seen = cut(starts.select("id", F.lit(0).alias("hops"), F.array("id").alias("path")))
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         step = frontier.join(sides, "id").select(F.col("other").alias("id"), F.concat("path", F.array("other")).alias("path"))
         step = step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
         frontier = cut(step.select("id", F.lit(hop).alias("hops"), "path"))

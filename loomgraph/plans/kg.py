@@ -1,7 +1,7 @@
 """The canonical graph over the given tables, rendered notes and rendered source files.
 
 Nodes: the star schema's dimensions, documents, pages, words of page navigation (entities) and images (vectors).
-Edges: the schema's hierarchy, frequent supply, page links, mentions of entities in documents, equal texts, and doubtful
+Edges: the schema's hierarchy, supply of parts, page links, mentions of entities in documents, equal texts, and doubtful
 relations of toxic documents. `community` is a partition that the tables give, so that SQL can check what builds on it.
 """
 
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..operators.build import Graph
 from ..operators.xref import words
 
-HEAVY_SUPPLY = 3
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,7 +82,7 @@ def edge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     said = mentions(spark, sf_dir)
-    supply = t("lineitem").groupBy("l_suppkey", "l_partkey").count().where(F.col("count") >= HEAVY_SUPPLY)
+    supply = t("lineitem").select("l_suppkey", "l_partkey").distinct()
     docs = t("documents").where("text is not null")
     first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     same = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(first, "h").where("doc_id <> first_id")

@@ -55,7 +55,7 @@ raw0 AS (
   SELECT 1 AS r, 'region:' || n_regionkey AS source, 'nation:' || n_nationkey AS target, 'contains' AS relation, 'EXTRACTED' AS confidence FROM nation
   UNION ALL SELECT 2, 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains', 'EXTRACTED' FROM customer
   UNION ALL SELECT 3, 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'contains', 'EXTRACTED' FROM supplier
-  UNION ALL SELECT 4, 'supplier:' || l_suppkey, 'part:' || l_partkey, 'uses', 'INFERRED' FROM lineitem GROUP BY l_suppkey, l_partkey HAVING count(*) >= 3
+  UNION ALL SELECT 4, 'supplier:' || l_suppkey, 'part:' || l_partkey, 'uses', 'INFERRED' FROM lineitem GROUP BY l_suppkey, l_partkey
   UNION ALL SELECT 5, 'page:' || page_id, 'ent:' || word, 'references', 'EXTRACTED' FROM anchor
   UNION ALL SELECT 6, 'doc:' || doc_id, 'ent:' || word, 'mentions', 'INFERRED' FROM mention
   UNION ALL SELECT 7, 'doc:' || f, 'doc:' || doc_id, 'same_concept', 'INFERRED' FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents WHERE text IS NOT NULL) WHERE f <> doc_id
@@ -363,9 +363,6 @@ shown AS (SELECT * FROM nodes WHERE (SELECT count(*) FROM nodes) <= 5000 OR id I
     "d17_first_labels": _graph("SELECT community, count(*) AS nodes, string_agg(label, ', ' ORDER BY place) FILTER (WHERE place <= 8) || CASE WHEN count(*) > 8 THEN ' (+' || (count(*) - 8) || ' more)' ELSE '' END AS shown FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS place FROM flag WHERE NOT is_file) GROUP BY 1"),
     "d18_inventory": _graph(f"SELECT {KIND} AS file_type, count(*) AS nodes FROM nodes GROUP BY 1"),
     "e4_cohesion": _graph("SELECT community, size, cohesion::DOUBLE AS cohesion FROM coh", COHESION),
-    "e8_hops": "WITH n AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0) SELECT 'region:0' AS id, 0 AS hops, 'region:0' AS path UNION ALL SELECT 'nation:' || k, 1, 'region:0 > nation:' || k FROM n UNION ALL SELECT 'customer:' || c_custkey, 2, 'region:0 > nation:' || k || ' > customer:' || c_custkey FROM n JOIN customer ON c_nationkey = k UNION ALL SELECT 'supplier:' || s_suppkey, 2, 'region:0 > nation:' || k || ' > supplier:' || s_suppkey FROM n JOIN supplier ON s_nationkey = k",
-    "e8_components": f"""WITH {NODES}, home AS (SELECT 'region:' || r_regionkey AS id, r_regionkey AS r FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
-  SELECT id, coalesce(min(id) OVER (PARTITION BY coalesce(r::VARCHAR, id)), id) AS component FROM nodes LEFT JOIN home USING (id)""",
     "e9_induced": _graph("SELECT a, b, relation FROM edges WHERE a IN (SELECT id FROM nodes WHERE file_type = 'code') AND b IN (SELECT id FROM nodes WHERE file_type = 'code')"),
     "e10_neighbors": _graph("SELECT id, other, relation FROM sides"),
     "f1_find": f"WITH {NODES} SELECT id, label, CASE WHEN lower(label) = 'the' OR lower(id) = 'the' THEN 0 ELSE 1 END AS rank FROM nodes WHERE contains(lower(label), 'the') OR lower(id) = 'the'",
@@ -373,9 +370,6 @@ shown AS (SELECT * FROM nodes WHERE (SELECT count(*) FROM nodes) <= 5000 OR id I
     "f3_node": _graph("SELECT id, label, file_type, source_file, degree FROM deg WHERE contains(lower(label), 'nation') OR lower(id) = 'nation' ORDER BY lower(label) <> 'nation' AND lower(id) <> 'nation', ord LIMIT 5"),
     "f4_neighbors": _graph("SELECT n.id, n.label, s.relation, s.confidence FROM sides s JOIN nodes n ON n.id = s.other WHERE s.id = (SELECT id FROM nodes WHERE contains(lower(label), 'the') OR lower(id) = 'the' ORDER BY lower(label) <> 'the' AND lower(id) <> 'the', ord LIMIT 1)"),
     "f5_community": _graph("SELECT id, label, source_file, degree FROM deg WHERE community = 2"),
-    "f6_path": """WITH c AS (SELECT c_custkey AS k, n_nationkey AS n, n_regionkey AS r, c_name AS label FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 0), s AS (SELECT s_suppkey AS k, n_nationkey AS n, n_regionkey AS r, s_name AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 1),
-  p AS (SELECT 0 AS hop, 'customer:0' AS id, c.label, NULL AS relation FROM c, s WHERE c.r = s.r UNION ALL SELECT 1, 'nation:' || c.n, n_name, 'contains' FROM c, s, nation WHERE c.r = s.r AND n_nationkey = c.n UNION ALL SELECT 2, 'region:' || c.r, r_name, 'contains' FROM c, s, region WHERE c.r = s.r AND c.n <> s.n AND r_regionkey = c.r
-  UNION ALL SELECT 3, 'nation:' || s.n, n_name, 'contains' FROM c, s, nation WHERE c.r = s.r AND c.n <> s.n AND n_nationkey = s.n UNION ALL SELECT CASE WHEN c.n = s.n THEN 2 ELSE 4 END, 'supplier:1', s.label, 'contains' FROM c, s WHERE c.r = s.r) SELECT * FROM p""",
     "f7_confidence": _graph("SELECT confidence, count(*) AS edges FROM edges GROUP BY 1"),
     "f9_orphans": _graph("SELECT id, label FROM deg WHERE degree = 0"),
     "f9_orphans_without_images": _graph("SELECT id, label FROM deg WHERE degree = 0 AND file_type <> 'image'"),
@@ -392,7 +386,7 @@ shown AS (SELECT * FROM nodes WHERE (SELECT count(*) FROM nodes) <= 5000 OR id I
     "i4_touched": "SELECT source || '/doc_' || doc_id || '.md' AS path FROM documents WHERE doc_id % 3 <> 1 AND (doc_id % 2 = 1 OR doc_id % 5 = 0)",
     "x_rollup": f"WITH {NODES} SELECT file_type, community, count(*) AS nodes, count(DISTINCT split_part(source_file, '/', 1)) AS tops FROM nodes GROUP BY ROLLUP (file_type, community)",
     "x_customer_orders": "SELECT o_orderkey, (row_number() OVER w)::INTEGER AS nth, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
-    "x_unsold_parts": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)",
+    "x_unsold_parts": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity >= 48)",
     "x_event_hours": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, sum(floor(value * 100))::BIGINT AS cents FROM events GROUP BY 1, 2",
     "x_event_sliding": "SELECT start, count(*) AS events FROM (SELECT unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS start FROM events) GROUP BY 1",
     "x_event_sessions": """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 from itertools import combinations
 
 import pytest
 
 from loomgraph.operators import build, centrality, community, export, metrics, paths
+from loomgraph.plans import kg
+from loomgraph.plans.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 NODES = "id string, label string, file_type string, source_file string, community int, ord string"
 EDGES = "source string, target string, relation string, confidence string, ord string"
 
@@ -77,20 +81,55 @@ def brute_betweenness(pairs, ids):
     return {k: round(2 * v / max((n - 1) * (n - 2), 1), 6) for k, v in out.items()}
 
 
+@pytest.mark.parametrize("held", [0, 100])
 @pytest.mark.parametrize("seed", [None, 1, 2])
-def test_betweenness(spark, seed):
+def test_betweenness(spark, monkeypatch, seed, held):
+    monkeypatch.setattr(centrality, "HELD_EDGES", held)
+    monkeypatch.setattr(centrality, "SOURCE_BLOCK", 5)
     if seed is None:
         pairs = [("A", "B"), ("B", "C"), ("C", "D")]
     else:
         rng = random.Random(seed)
         pairs = sorted({tuple(sorted(rng.sample("abcdefghi", 2))) for _ in range(13)})
     g = graph(spark, pairs)
-    nodes, edges, exact = centrality.betweenness(g)
+    nodes, edges = centrality.betweenness(g)
     ids = sorted({x for p in pairs for x in p})
-    assert exact and {r.id: round(r.betweenness, 6) for r in nodes.collect()} == brute_betweenness(pairs, ids)
+    assert {r.id: round(r.betweenness, 6) for r in nodes.collect()} == brute_betweenness(pairs, ids)
     assert edges.count() == len(pairs)
 
 
+def test_paths_of_the_whole_graph(spark):
+    g = kg.graph(spark, SF)
+    near = defaultdict(set)
+    for r in g.edges.select("a", "b").collect():
+        near[r.a].add(r.b)
+        near[r.b].add(r.a)
+
+    def search(start):
+        best, frontier = {start: [start]}, [start]
+        while frontier:
+            step = {}
+            for v in frontier:
+                for w in near[v] - {v}:
+                    if w not in best:
+                        step[w] = min(step.get(w, [chr(0x10FFFF)]), best[v] + [w])
+            best |= step
+            frontier = list(step)
+        return best
+
+    want = search("region:0")
+    assert {(r.id, r.hops, r.path) for r in QUERIES["e8_hops"](spark, SF).collect()} == {(i, len(p) - 1, " > ".join(p)) for i, p in want.items()}
+    assert [r.id for r in QUERIES["f6_path"](spark, SF).orderBy("hop").collect()] == search("customer:0")["supplier:1"]
+    component = {}
+    for i in sorted(r.id for r in g.nodes.select("id").collect()):
+        if i not in component:
+            component |= dict.fromkeys(search(i), i)
+    assert {r.id: r.component for r in QUERIES["e8_components"](spark, SF).collect()} == component
+    every = QUERIES["e7_edge_betweenness"](spark, SF)
+    assert every.count() == g.edges.where("a <> b").select("a", "b").distinct().count() == every.where("betweenness > 0").count()
+
+
+
 def test_shortest_path_is_the_smallest(spark):
     g = graph(spark, [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "e"), ("x", "y")])
     assert [r.id for r in paths.shortest_path(g, "a", "e").orderBy("hop").collect()] == ["a", "b", "d", "e"]
@@ -153,7 +192,7 @@ def test_json_round_trip(spark, tmp_path):
     assert sorted((r.a, r.b, r.relation) for r in back.edges.collect()) == sorted((r.a, r.b, r.relation) for r in g.edges.collect())
 
 
-def test_vault_index(spark):
+def test_vault_index(spark, tmp_path):
     rows = [("c1", "GraphStore", "code", "src/store.py", 0), ("c2", "indexBy", "code", "src/store.py", 0), ("d1", "Architecture", "document", "docs/arch.md", 1), ("p1", "LeidenPaper", "paper", "papers/leiden.pdf", 1), ("n1", "Cache rationale", "note", "wiki-out/ingested/note-1.md", 0)]
     nodes = spark.createDataFrame([(*r, r[0]) for r in rows], NODES)
     edges = spark.createDataFrame([("c1", "c2", "calls", "EXTRACTED", "1"), ("c1", "d1", "mentions", "EXTRACTED", "2"), ("d1", "p1", "references", "INFERRED", "3")], EDGES)
@@ -165,4 +204,4 @@ def test_vault_index(spark):
     notes = {r.id: r for r in export.node_notes(g, labels).collect()}
     assert notes["c1"].folder == "code" and "- [[indexBy]] - `calls` [EXTRACTED]" in notes["c1"].note and "#community/Storage" in notes["c1"].note
     assert {r.community for r in export.community_notes(g, labels).collect()} == {0, 1}
-    export.write_vault(g, labels, "/tmp/vault-test-" + str(random.random()))
+    export.write_vault(g, labels, str(tmp_path / "vault"))
