@@ -102,8 +102,10 @@ def parse_python(path: str, text: str) -> list[dict]:
                     edge(file_id, make_id(module), "imports_from", x.lineno)
                 for name in x.names:
                     add("import", name=name.name, target=module, line=x.lineno)
-            elif hasattr(x, "body") and isinstance(x.body, list):
-                walk(x.body, owner)
+            else:
+                for part in ("body", "orelse", "finalbody", "handlers", "cases"):
+                    inner = getattr(x, part, None)
+                    walk(inner if isinstance(inner, list) else [], owner)
 
     node(file_id, path.rsplit("/", 1)[-1], 1)
     docstring(tree, file_id)
@@ -200,8 +202,12 @@ def declared_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform(F.when(F.col("source_file").endswith(".rb"), named(BASES["ruby"])).otherwise(F.array().cast("array<string>")), lambda x: F.struct(F.lit("extends").alias("relation"), x.alias("base"))),
     )
     heirs = types.select("source_file", "line_no", "name", F.explode(links).alias("l")).select("source_file", "line_no", "name", "l.relation", F.regexp_replace("l.base", r"^.*[.:]", "").alias("base"))
-    heir_edges = heirs.select(code_id(base, F.col("name")).alias("source"), code_id(F.col("base")).alias("target"), "relation", "source_file", at.alias("source_location"), ord_.alias("ord"))
-    placeholders = heirs.select(code_id(F.col("base")).alias("id"), F.col("base").alias("label"), F.lit("").alias("source_file"), F.lit(None).cast("string").alias("source_location"), F.lit(None).cast("string").alias("signature"), F.lit("").alias("ord"))
+    # A base that the file declares is meant; a placeholder stands for any other.
+    own = types.groupBy("source_file", F.col("name").alias("base")).agg(F.lit(True).alias("own"))
+    heirs = heirs.join(own, ["source_file", "base"], "left")
+    base_id = F.when(F.col("own"), code_id(base, F.col("base"))).otherwise(code_id(F.col("base")))
+    heir_edges = heirs.select(code_id(base, F.col("name")).alias("source"), base_id.alias("target"), "relation", "source_file", at.alias("source_location"), ord_.alias("ord"))
+    placeholders = heirs.where("own is null").select(code_id(F.col("base")).alias("id"), F.col("base").alias("label"), F.lit("").alias("source_file"), F.lit(None).cast("string").alias("source_location"), F.lit(None).cast("string").alias("signature"), F.lit("").alias("ord"))
     confidence = lambda df: df.withColumns({"confidence": F.lit("EXTRACTED"), "weight": F.lit(1.0)})
     return nodes.unionByName(placeholders).withColumn("file_type", F.lit("code")), confidence(edges.unionByName(heir_edges))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import extension, stem, strip_tags
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -79,6 +80,27 @@ def epub(data: bytes) -> str:
     return "\n\n".join(out)
 
 
+def pptx(data: bytes) -> str:
+    """A heading for each slide with its texts, paragraph by paragraph, and tables as rows between bars; notes follow as quotes."""
+    box = zipfile.ZipFile(io.BytesIO(data))
+    slides = sorted((int(m[1]), n) for n in box.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+    said = lambda x: "".join(t.text or "" for t in x.iter(f"{_A}t")).strip()
+    out = []
+    for nth, name in slides:
+        out.append(f"## Slide {nth}")
+        root = ElementTree.fromstring(box.read(name))
+        tables = list(root.iter(f"{_A}tbl"))
+        inside = {id(p) for t in tables for p in t.iter(f"{_A}p")}
+        out += [text for p in root.iter(f"{_A}p") if id(p) not in inside and (text := said(p))]
+        for t in tables:
+            rows = [[said(c) for c in r.findall(f"{_A}tc")] for r in t.findall(f"{_A}tr")]
+            out += [_row(r) if i else f"{_row(r)}\n{_row(['---'] * len(r))}" for i, r in enumerate(rows)]
+        notes = f"ppt/notesSlides/notesSlide{nth}.xml"
+        if notes in box.namelist():
+            out += [f"> {text}" for p in ElementTree.fromstring(box.read(notes)).iter(f"{_A}p") if (text := said(p))]
+    return "\n\n".join(out)
+
+
 def pdf(data: bytes) -> str:
     """Text of a PDF by pypdf, where that is installed."""
     import pypdf
@@ -91,7 +113,7 @@ def looks_scanned(text: Column, pages: Column, least: int = 50) -> Column:
     return (pages >= 2) & (F.length(F.regexp_replace(text, r"(?U)\s", "")) < least)
 
 
-CONVERTERS = {".docx": docx, ".xlsx": xlsx, ".epub": epub, ".pdf": pdf}
+CONVERTERS = {".docx": docx, ".xlsx": xlsx, ".epub": epub, ".pdf": pdf, ".pptx": pptx}
 
 
 def converted(files: DataFrame) -> DataFrame:
@@ -111,7 +133,10 @@ def converted(files: DataFrame) -> DataFrame:
     ext = extension(F.col("source_file"))
     binary = files.where(ext.isin(*CONVERTERS)).withColumn("c", run(ext, F.col("content"))).select(*files.columns, "c.markdown", "c.error")
     html = files.where(ext.isin(".html", ".htm")).withColumns({"markdown": strip_tags(F.decode("content", "UTF-8")), "error": F.lit(None).cast("string")})
-    return binary.unionByName(html)
+    # What no converter reads is reported, not left out.
+    rest = files.where(F.coalesce(~ext.isin(*CONVERTERS, ".html", ".htm"), F.lit(True)))
+    rest = rest.withColumns({"markdown": F.lit(""), "error": F.concat(F.lit("no converter for "), F.coalesce(F.when(ext != "", ext), F.lit("a file without suffix")))})
+    return binary.unionByName(html).unionByName(rest)
 
 
 def sidecar(source_file: Column) -> Column:

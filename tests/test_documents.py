@@ -1,86 +1,132 @@
-"""Headings, sections, concepts, stale references: the cases of the specification."""
+"""Headings, sections, concepts, stale references on hand-made notes."""
 
 from __future__ import annotations
 
 import pytest
 
-from loomgraph.operators import build, docs, query
+from loomgraph.operators import build, code, docs, query
 
 NODES = "id string, label string, file_type string, source_file string, community int, ord string"
 
 
-def headings(spark, text):
-    df = spark.createDataFrame([("a.md", text)], "source_file string, text string")
-    return [r.heading for r in docs.headings(df).orderBy("line_no").collect()]
+def table(spark, names, *rows):
+    return spark.createDataFrame(list(rows), ", ".join(f"{n} string" for n in names.split()))
 
 
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("**TRUYỆN KIỀU**\n\nbody\n\n**I**\n\nbody\n\n**II**\n\nbody", ["TRUYỆN KIỀU", "I", "II"]),
-        ("# Real Heading\n\n**Should Not Become Heading**\n", ["Real Heading"]),
-        ("**This sentence ends with a period.**\n\n**Question?**\n\n**Listed item:**\n\n**Valid Heading**", ["Valid Heading"]),
-        ("Some intro text with **bold inline** in the middle.\n\n**Standalone Heading**", ["Standalone Heading"]),
-        ("**" + "X" * 100 + "**\n\n**Short Title**", ["Short Title"]),
-        ("```\n# fenced\n```\n# Out\n", ["Out"]),
+        ("**Kelp forests**\n\ntides\n\n**Ōtaki**\n\n**iv**\n", ["Kelp forests", "Ōtaki", "iv"]),
+        ("**before**\n## Harbour\n**after**\n", ["Harbour"]),
+        ("**ends.**\n**asks?**\n**lists:**\n**shouts!**\n**Bare words**\n", ["Bare words"]),
+        ("a line with **bold** inside\n  **On its own**  \n", ["On its own"]),
+        (f"**{'k' * 81}**\n**{'k' * 80}**\n", ["k" * 80]),
+        ("```sh\n# comment\n```\n### Shown\n", ["Shown"]),
+        ("# One\r\n```\r\n# hidden\r\n```\r\n# Two\r\n", ["One", "Two"]),
+        ("# Open fence\n```\n# never closed\n", ["Open fence"]),
+        ("##### too deep\n#no blank\n", []),
         ("", []),
     ],
 )
 def test_headings(spark, text, expected):
-    assert headings(spark, text) == expected
+    found = docs.headings(table(spark, "source_file text", ("tide.md", text))).orderBy("line_no")
+    assert [r.heading for r in found.collect()] == expected
+
+
+def test_line_numbers_count_fenced_lines(spark):
+    text = "# Pier\n```\nx\ny\n```\n\n## Dock\n```\n```\n## Quay\n"
+    rows = docs.headings(table(spark, "source_file text", ("p.md", text))).collect()
+    assert sorted((r.line_no, r.heading) for r in rows) == [(1, "Pier"), (7, "Dock"), (10, "Quay")]
 
 
 def test_sections_hang_below_the_last_level_one(spark):
-    df = spark.createDataFrame([("x/a.md", "## First\n# One\n## Two\n### Three\n# One\n## Four\n", "document")], "source_file string, text string, file_type string")
+    df = table(spark, "source_file text file_type", ("sea/log.md", "## Loose\n# North\n## Reef\n### Sand\n# North\n## Bay\n", "document"))
     rows = {r.label: r for r in docs.sections(df).collect()}
-    ids = {k: r.id for k, r in rows.items()}
     hub = docs.hubs(df).first().id
-    assert {k: r.parent_id for k, r in rows.items()} == {"First": hub, "One": hub, "Two": ids["One"], "Four": ids["One"]}
+    assert {k: r.parent_id for k, r in rows.items()} == {"Loose": hub, "North": hub, "Reef": rows["North"].id, "Bay": rows["North"].id}
 
 
 def test_links_are_resolved(spark):
-    text = "[a](../b/./c.md#x) ![i](img.png) [w](https://x.org) [h](#top) [m](mailto:a@b) [again](../b/c.md) [up](../../../z.md)"
-    df = spark.createDataFrame([("d/e.md", text)], "source_file string, text string")
-    assert [r.target for r in docs.links(df).orderBy("nth").collect()] == ["b/c.md", "d/img.png", "z.md"]
+    text = "[map](../maps/./coast.md#west) ![buoy](buoy.svg) [site](http://sea.test) [here](#here) [post](mailto:x@y) [map again](../maps/coast.md) [root](/log.md) [far](../../out.md)"
+    rows = docs.links(table(spark, "source_file text", ("logs/day.md", text))).orderBy("nth").collect()
+    assert [r.target for r in rows] == ["maps/coast.md", "logs/buoy.svg", "log.md", "../out.md"]
 
 
 def test_definitions(spark):
-    text = "- **Good Term**: yes\n* **a=b**: no\n- **Good Term**: again\n```\n- **Fenced**: no\n```\n- **12345**: no\n"
-    df = spark.createDataFrame([("a.md", text)], "source_file string, text string")
-    assert [r.label for r in docs.definitions(df).collect()] == ["Good Term"]
+    text = "- **Neap tide**: weak\n* **x = y**: noise\n- **Neap tide**: twice\n```\n- **Hidden**: no\n```\n- **2024**: number\n  - **Spring tide** strong\n"
+    rows = docs.definitions(table(spark, "source_file text", ("t.md", text))).orderBy("nth").collect()
+    assert [r.label for r in rows] == ["Neap tide", "Spring tide"]
 
 
 def test_same_concept_across_documents(spark):
-    df = spark.createDataFrame([("doc_a.md", "**Truyện Kiều**\n", "document"), ("doc_b.md", "**Truyện Kiều**\n", "document")], "source_file string, text string, file_type string")
+    df = table(spark, "source_file text file_type", ("a.md", "# Sông Hồng\n", "document"), ("b.md", "# sông hồng\n", "document"), ("c.md", "# Overview\n", "document"), ("d.md", "# Overview\n", "document"))
     nodes, _ = docs.extract(df)
     assert docs.same_concepts(build.upsert_nodes(nodes)).count() == 1
 
 
 STALE = [
-    (["ExistingNode"], "Some text [[ExistingNode]] and [[GhostNode]] here.", [("GhostNode", 1)]),
-    (["ExistingNode"], "Reference to [[ExistingNode]].", []),
-    ([], "line1\n[[Missing]] here\nline3\n", [("Missing", 2)]),
-    (["RealRef"], "[[RealRef]]\n```\n[[FakeRef]]\n```\n[[AnotherGhost]]", [("AnotherGhost", 5)]),
-    (["Good"], "See [[Good]] and [[Bad1]] plus [[Bad2]].", [("Bad1", 1), ("Bad2", 1)]),
-    (["ExistingNode"], "See [[ExistingNode#details]] and [[GhostNode#intro]].", [("GhostNode", 1)]),
+    (["Anchor"], "The [[Anchor]] held, the [[Rope]] did not.", [("Rope", 1)]),
+    (["Anchor"], "Only [[Anchor]].", []),
+    ([], "one\n\n[[Rope]]\n", [("Rope", 3)]),
+    (["Anchor"], "[[Anchor]]\n```\n[[Quoted]]\n```\n\n[[Rope]]", [("Rope", 6)]),
+    (["Anchor"], "[[Mast]], [[Anchor]], [[Sail]]", [("Mast", 1), ("Sail", 1)]),
+    (["Anchor"], "[[Anchor#weight]] and [[Rope#length]]", [("Rope", 1)]),
 ]
 
 
 @pytest.mark.parametrize("labels, text, expected", STALE)
 def test_stale_references(spark, labels, text, expected):
     nodes = spark.createDataFrame([(f"n{i}", x, "code", "a.py", 0, f"{i}") for i, x in enumerate(labels)], NODES)
-    notes = spark.createDataFrame([("v.md", text)], "source_file string, text string")
-    assert sorted((r.label, r.line_no) for r in query.stale_refs(nodes, notes).collect()) == expected
+    assert sorted((r.label, r.line_no) for r in query.stale_refs(nodes, table(spark, "source_file text", ("v.md", text))).collect()) == expected
 
 
 def orphan_graph(spark, images=False):
-    rows = [("A", "Alpha", "code", 0), ("B", "Beta", "code", 0), ("C", "Gamma", "code", 0), ("D", "Delta", "code", 1), ("E", "Epsilon", "document", 2)] + [("IMG", "diagram.png", "image", 3)] * images
-    nodes = spark.createDataFrame([(i, x, t, "a.py", c, i) for i, x, t, c in rows], NODES)
-    edges = spark.createDataFrame([("A", "B", "calls", "EXTRACTED", "1"), ("B", "C", "calls", "EXTRACTED", "2")], "source string, target string, relation string, confidence string, ord string")
+    rows = [("k1", "Keel", "code", 0), ("k2", "Hull", "code", 0), ("k3", "Oar", "code", 1), ("k4", "Chart", "document", 2)] + [("k5", "gull.png", "image", 3)] * images
+    nodes = spark.createDataFrame([(i, x, t, "boat.py", c, i) for i, x, t, c in rows], NODES)
+    edges = spark.createDataFrame([("k1", "k2", "calls", "EXTRACTED", "1")], "source string, target string, relation string, confidence string, ord string")
     return build.Graph.build(nodes, edges)
 
 
 def test_orphans(spark):
-    assert sorted(r.label for r in query.orphans(orphan_graph(spark)).collect()) == ["Delta", "Epsilon"]
-    assert sorted(r.label for r in query.orphans(orphan_graph(spark, True)).collect()) == ["Delta", "Epsilon"]
+    assert sorted(r.label for r in query.orphans(orphan_graph(spark)).collect()) == ["Chart", "Oar"]
+    assert sorted(r.label for r in query.orphans(orphan_graph(spark, True)).collect()) == ["Chart", "Oar"]
     assert query.orphans(orphan_graph(spark, True), include_hubs=True).count() == 3
+
+
+BRANCHES = """
+try:
+    import fast
+except ImportError:
+    import slow
+    def helper(): pass
+else:
+    class Late: pass
+finally:
+    def last(): pass
+if fast:
+    pass
+elif slow:
+    def second(): pass
+else:
+    for x in y:
+        pass
+    else:
+        def third(): pass
+match fast:
+    case 1:
+        def fourth(): pass
+"""
+
+
+def test_python_code_in_every_branch_is_read():
+    rows = code.parse_python("sea/boat.py", BRANCHES)
+    labels = {r["label"] for r in rows if r["kind"] == "node"}
+    assert labels == {"boat.py", "helper()", "Late", "last()", "second()", "third()", "fourth()"}
+    assert {r["target"] for r in rows if r.get("relation") == "imports"} == {"fast", "slow"}
+
+
+def test_bases_of_the_same_file(spark):
+    text = "class Kid extends Hull {\n}\nclass Hull {\n}\nclass Raft extends Float {\n}\n"
+    nodes, edges = code.declared_records(table(spark, "source_file text", ("T.java", text)))
+    assert {(r.source, r.target) for r in edges.where("relation = 'extends'").collect()} == {("t_kid", "t_hull"), ("t_raft", "float")}
+    assert [r.id for r in nodes.where("source_file = ''").collect()] == ["float"]

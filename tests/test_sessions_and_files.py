@@ -29,13 +29,13 @@ def test_clean_text_is_no_secret(spark):
     assert not one(spark, has_secret(F.lit("I decided to use JSON because it is simpler.")))
 
 
-@pytest.mark.parametrize("said, tag", [("I decided to use JSON for the storage format.", "decision"), ("The rationale is that YAML has edge cases.", "rationale"), ("There is a trade-off between simplicity and flexibility.", "tradeoff"), ("LÝ DO là vậy", "rationale")])
+@pytest.mark.parametrize("said, tag", [("I decided to keep the logs on paper.", "decision"), ("The rationale is that ink outlasts disks.", "rationale"), ("It is a trade-off of speed and care.", "tradeoff"), ("LÝ DO là vậy", "rationale")])
 def test_tags(spark, said, tag):
     assert tag in one(spark, capture.tags(F.lit(said)))
 
 
 def test_sessions_and_candidates(spark, tmp_path):
-    long = "We decided to use JSON because the rationale is that it is simple and everywhere."
+    long = "We decided to sail at dawn because the rationale is that the tide turns at noon."
     messages = [("user", long), ("user", long + " sk-" + "a1" * 13), ("user", "ok decided"), ("assistant", long), ("user", "x" * 80), ("user", [{"type": "text", "text": long}, {"type": "tool", "text": "no"}])]
     lines = [json.dumps({"cwd": "/p", "sessionId": "s"})] + [json.dumps({"role": r, "content": c, "ts": "2026-04-28T00:00:00Z"}) for r, c in messages] + ["not json"]
     (tmp_path / "abcdefghij.jsonl").write_text("\n".join(lines))
