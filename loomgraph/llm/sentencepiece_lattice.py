@@ -64,6 +64,8 @@ class Pieces:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if any(m.get_score(i) % 1 for i in range(m.vocab_size())):
+            raise ValueError("not a BPE model: its scores aren't ranks of merges")
         special = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)
         return cls.of_rows([(m.id_to_piece(i), i, m.get_score(i)) for i in range(m.vocab_size()) if not special(i)], m.piece_to_id("<0x00>"))
 
