@@ -424,6 +424,17 @@ def brute_similar_classes(rows):
     return {find(d) for d in root}
 
 
+def test_joined_roots_equal_components_of_all_edges(spark):
+    rng = random.Random(5)
+    parts = [[tuple(rng.sample(range(300), 2)) for _ in range(n)] for n in (60, 80, 1, 0)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    roots, met = simhash.components(frame(parts[0])), parts[0]
+    for part in parts[1:]:
+        roots, met = shingle_join.joined_roots(roots, frame(part)), met + part
+        got = [tuple(r) for r in roots.collect()]
+        assert len(got) == len(dict(got)) and sorted(got) == sorted(tuple(r) for r in simhash.components(frame(met)).collect())
+
+
 def test_keep_first_of_odd_rows(spark, odd):
     kept = shingle_join.keep_first(odd.withColumns({"of_id": F.lit(1), "of_key": F.lit(2), "root": F.lit(3)})).collect()
     assert sorted((r.doc_id for r in kept), key=lambda d: (d is None, d)) == [1, 4, 5, 6, 7, 8, 9, None]
