@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions.text import sanitized, truncated_label, vault_name
 from . import metrics
 from .build import Graph
@@ -26,18 +27,26 @@ def _joined(sort: list, text: Column, sep: str = "\n") -> Column:
     return F.array_join(F.transform(rows, lambda x: x["text"]), sep)
 
 
+def _score(edges: DataFrame) -> Column:
+    score = F.coalesce(*[F.when(metrics.confidence() == k, v) for k, v in metrics.CONFIDENCE_SCORES.items()], F.lit(1.0))
+    return F.coalesce("confidence_score", score) if "confidence_score" in edges.columns else score
+
+
+def _ends() -> list[Column]:
+    return [F.coalesce("src", "a").alias("source"), F.coalesce("tgt", "b").alias("target")]
+
+
 def confidence_scores(graph: Graph) -> DataFrame:
     """Edges as links: source, target (in the last record's direction), relation, confidence, confidence_score."""
-    score = F.coalesce(*[F.when(metrics.confidence() == k, v) for k, v in metrics.CONFIDENCE_SCORES.items()], F.lit(1.0))
-    given = F.coalesce("confidence_score", score) if "confidence_score" in graph.edges.columns else score
-    return graph.edges.select(F.coalesce("src", "a").alias("source"), F.coalesce("tgt", "b").alias("target"), "relation", "confidence", given.alias("confidence_score"))
+    return graph.edges.select(*_ends(), "relation", "confidence", _score(graph.edges).alias("confidence_score"))
 
 
 def json_lines(graph: Graph) -> DataFrame:
-    """The graph as JSON, one object in a row: kind (node or link) and json."""
-    node = graph.nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "label", "file_type", "source_file", "community")).alias("json"))
-    link = confidence_scores(graph).select(F.lit("link").alias("kind"), F.to_json(F.struct("*")).alias("json"))
-    return node.unionByName(link)
+    """The graph as JSON with all attributes that aren't null, one object in a row: kind (node or link) and json."""
+    node = graph.nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("json"))
+    rest = [c for c in graph.edges.columns if c not in ("a", "b", "src", "tgt", "confidence_score")]
+    link = F.struct(*_ends(), F.col("src").isNotNull().alias("directed"), _score(graph.edges).alias("confidence_score"), *rest)
+    return node.unionByName(graph.edges.select(F.lit("link").alias("kind"), F.to_json(link).alias("json")))
 
 
 def write_json(graph: Graph, path: str) -> None:
@@ -46,11 +55,12 @@ def write_json(graph: Graph, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> Graph:
-    """The graph that write_json() has written."""
-    lines = spark.read.option("wholetext", False).text(path)
-    nodes = lines.where("kind = 'node'").select(F.from_json("value", "id string, label string, file_type string, source_file string, community int").alias("n")).select("n.*")
-    links = lines.where("kind = 'link'").select(F.from_json("value", "source string, target string, relation string, confidence string, confidence_score double").alias("e")).select("e.*")
-    return Graph.build(nodes.withColumn("ord", F.col("id")), links.withColumn("ord", F.concat_ws("|", "source", "target")))
+    """The graph that write_json() has written, with the attributes that `schema` names."""
+    lines = spark.read.text(path)
+    nodes = lines.where("kind = 'node'").select(F.from_json("value", schema.NODE).alias("n")).select("n.*")
+    links = lines.where("kind = 'link'").select(F.from_json("value", f"{schema.EDGE}, directed boolean").alias("e")).select("e.*")
+    links = links.withColumns({"directed": F.coalesce("directed", F.lit(True)), "ord": F.coalesce("ord", F.concat_ws("|", "source", "target"))})
+    return Graph.build(nodes.withColumn("ord", F.coalesce("ord", "id")), links)
 
 
 def file_names(nodes: DataFrame) -> DataFrame:
