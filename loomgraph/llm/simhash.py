@@ -33,6 +33,8 @@ TAU = 2
 SEGMENTS = 9
 CHAIN = 4
 PAIR_BUCKET = 64
+#: Edges that one task settles in memory.
+EDGES_A_TASK = 200_000
 #: First bit of each segment on the ring, counted from the high end; the last segment has 8 bits.
 STARTS = [7 * i for i in range(SEGMENTS)]
 
@@ -127,10 +129,37 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def settled(a, b):
+    """The nodes of the edges (a[i], b[i]) and the smallest node that each reaches."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (apart := root[x] != root[y]).any():
+        one, other = root[x[apart]], root[y[apart]]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _settled_by_task(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: each task ties those of its at most EDGES_A_TASK edges to their smallest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            nodes, roots = settled(*(pd.concat(parts)[c].to_numpy() for c in ("a", "b")))
+            yield pd.DataFrame({"a": nodes, "b": roots})[nodes != roots]
+
+    return edges.coalesce(-(-count // EDGES_A_TASK)).mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): root is the smallest node reachable over edges (a, b). Nodes without an edge aren't listed.
+    """(node, root): root is the smallest node reachable over edges (a, b), both long. Nodes without an edge aren't listed.
 
-    Alternating large-star and small-star rounds; each ends in a checkpoint, and no round keeps a node's
+    Tasks first settle the edges that they hold, so few edges need one task and no shuffle. What several tasks hold goes through
+    alternating large-star and small-star rounds; each ends in a checkpoint, and no round keeps a node's
     neighbours together in memory.
     """
 
@@ -139,7 +168,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return df, tuple(row)
 
+    named = lambda df: df.select(F.col("a").alias("node"), F.col("b").alias("root"))
     edges, state = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    if 0 < state[0] <= EDGES_A_TASK:
+        return named(checkpointed(_settled_by_task(edges, state[0])))
+    if state[0]:
+        edges, state = settle(_settled_by_task(edges, state[0]))
     for _ in range(max_rounds):
         if not state[0]:
             break
@@ -154,7 +188,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return named(edges)
 
 
 def classes(prints: DataFrame) -> DataFrame:

@@ -424,15 +424,31 @@ def brute_similar_classes(rows):
     return {find(d) for d in root}
 
 
-def test_joined_roots_equal_components_of_all_edges(spark):
+def brute_roots(edges):
+    """(node, root) of all nodes with an edge but the roots themselves, as simhash.components lists them."""
+    root = {n: n for e in edges for n in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return sorted((n, r) for n, r in root.items() if n != r)
+
+
+@pytest.mark.parametrize("edges_a_task", [40, 200_000])
+def test_components_and_joined_roots_equal_brute_force(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(simhash, "EDGES_A_TASK", edges_a_task)
     rng = random.Random(5)
-    parts = [[tuple(rng.sample(range(300), 2)) for _ in range(n)] for n in (60, 80, 1, 0)]
+    chain = [(i, i + 1) for i in range(1000, 1060)] + [(-(2**63), 2**63 - 1), (7, 7), (1000, 1001)]
+    parts = [[*(tuple(rng.sample(range(300), 2)) for _ in range(n)), *more] for n, more in ((60, chain), (80, []), (1, []), (0, []))]
     frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
     roots, met = simhash.components(frame(parts[0])), parts[0]
+    assert sorted(tuple(r) for r in roots.collect()) == brute_roots(met)
     for part in parts[1:]:
         roots, met = shingle_join.joined_roots(roots, frame(part)), met + part
-        got = [tuple(r) for r in roots.collect()]
-        assert len(got) == len(dict(got)) and sorted(got) == sorted(tuple(r) for r in simhash.components(frame(met)).collect())
+        assert sorted(tuple(r) for r in roots.collect()) == brute_roots(met)
 
 
 def test_keep_first_of_odd_rows(spark, odd):
