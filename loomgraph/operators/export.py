@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -241,7 +245,66 @@ def report(graph: Graph, labels: DataFrame, title: str = "corpus") -> DataFrame:
     return sums.unionByName(gods).unionByName(odd).unionByName(groups).unionByName(gaps)
 
 
-def write_vault(graph: Graph, labels: DataFrame, path: str) -> None:
-    """Notes of nodes and communities as text, foldered by kind."""
-    notes = node_notes(graph, labels).select("folder", F.col("note").alias("value"))
-    notes.unionByName(community_notes(graph, labels).select(F.lit("communities").alias("folder"), F.col("note").alias("value"))).write.partitionBy("folder").text(path)
+def wiki_index(graph: Graph, labels: DataFrame) -> DataFrame:
+    """The wiki's index: section, place, line. Communities, the largest first, then the most connected nodes."""
+    counts = graph.nodes.agg(F.count("*").alias("nodes"), F.countDistinct("community").alias("communities"))
+    counts = counts.join(graph.edges.agg(F.count("*").alias("edges")))  # rows of one
+    # The index's sentences.
+    intro = "> Auto-generated knowledge wiki. Start here — read community articles for context, then drill into god nodes for detail."
+    before, after = ("# Knowledge Graph Index", "", intro, ""), ("", "---", "", "## Communities", "(sorted by size, largest first)", "")
+    total = F.concat(F.lit("**"), "nodes", F.lit(" nodes · "), "edges", F.lit(" edges · "), "communities", F.lit(" communities**"))
+    head = counts.select(F.posexplode(F.array(*map(F.lit, before), total, *map(F.lit, after))).alias("place", "line"))
+    groups = metrics.cohesion(graph).join(labels.withColumnRenamed("label", "community_label"), "community", "left").withColumn("place", F.row_number().over(W.orderBy(F.col("size").desc(), "community")))
+    groups = groups.select("place", F.concat(F.lit("- [["), community_name(labels), F.lit("]] — "), "size", F.lit(" nodes")).alias("line"))
+    gods = metrics.god_nodes(graph).withColumn("place", F.row_number().over(W.orderBy(F.col("edges").desc(), "id")))
+    title = F.when(F.col("place") == 1, "\n## God Nodes\n(most connected concepts — the load-bearing abstractions)\n\n").otherwise("")
+    gods = gods.select("place", F.concat(title, F.lit("- [["), "label", F.lit("]] — "), "edges", F.lit(" connections")).alias("line"))
+    foot = head.limit(1).select(F.lit(0).alias("place"), F.lit("\n---\n\n*Auto-generated knowledge wiki*").alias("line"))
+    parts = [part.select(F.lit(i).alias("section"), F.col("place").cast("int").alias("place"), "line") for i, part in enumerate((head, groups, gods, foot), 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def write_files(rows: DataFrame, path: str) -> int:
+    """Writes `text` of each row (folder, file, text) to path/folder/file; returns how many. `path` lies in a store that all
+    executors share; a task that runs again writes the same files again."""
+    target = path if "://" in path else os.path.abspath(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(target)
+        for pdf in batches:
+            for folder in pdf["folder"].unique():
+                store.create_dir(f"{root}/{folder}".rstrip("/"), recursive=True)
+            for folder, file, text in zip(pdf["folder"], pdf["file"], pdf["text"]):
+                with store.open_output_stream("/".join(x for x in (root, folder, file) if x)) as out:
+                    out.write(text.encode("utf-8"))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.select("folder", "file", "text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_vault(graph: Graph, labels: DataFrame, path: str) -> int:
+    """The vault: a note for each node in its type's folder, for each community in `communities`, the index, and the graph
+    view's colours. Returns the number of notes."""
+    notes = node_notes(graph, labels).select("folder", F.concat("file", F.lit(".md")).alias("file"), F.col("note").alias("text"))
+    groups = community_notes(graph, labels).select(F.lit("communities").alias("folder"), F.concat("file", F.lit(".md")).alias("file"), F.col("note").alias("text"))
+    index = vault_index(graph, labels).agg(_joined([F.col("place")], F.col("text")).alias("text"))
+    color = F.struct("query", F.struct(F.lit(1).alias("a"), "rgb").alias("color"))
+    colors = color_groups(labels).agg(F.array_sort(F.collect_list(F.struct("community", color.alias("group")))).alias("groups"))
+    colors = colors.select(F.to_json(F.struct(F.transform("groups", lambda g: g["group"]).alias("colorGroups"))).alias("text"))
+    rest = index.select(F.lit("").alias("folder"), F.lit("index.md").alias("file"), "text")
+    rest = rest.unionByName(colors.select(F.lit(".vault").alias("folder"), F.lit("graph.json").alias("file"), "text"))
+    return write_files(notes.unionByName(groups).unionByName(rest), path) - 2
+
+
+def write_wiki(graph: Graph, labels: DataFrame, path: str) -> int:
+    """The wiki: an article for each community and each of the most connected nodes, and the index. Of articles with one name
+    a node's comes first. Returns the number of articles."""
+    named = labels.withColumnRenamed("label", "community_label")
+    groups = wiki_articles(graph, labels).join(named, "community", "left").select(F.struct(F.lit(0).alias("kind"), F.col("community").cast("string").alias("key")).alias("rank"), vault_name(community_name(labels)).alias("file"), F.col("article").alias("text"))
+    gods = god_articles(graph, labels).join(graph.nodes.select("id", F.coalesce("label", "id").alias("name")), "id")
+    gods = gods.select(F.struct(F.lit(1).alias("kind"), F.col("id").alias("key")).alias("rank"), vault_name(F.col("name")).alias("file"), F.col("article").alias("text"))
+    articles = groups.unionByName(gods).groupBy("file").agg(F.max_by("text", "rank").alias("text")).select(F.lit("").alias("folder"), F.concat("file", F.lit(".md")).alias("file"), "text")
+    index = wiki_index(graph, labels).agg(_joined([F.col("section"), F.col("place")], F.col("line")).alias("text"))
+    return write_files(articles.unionByName(index.select(F.lit("").alias("folder"), F.lit("index.md").alias("file"), "text")), path) - 1

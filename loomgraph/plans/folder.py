@@ -60,6 +60,6 @@ def save(graph: Graph, path: str, title: str = "corpus") -> None:
     labels = cut(community.labels(graph))
     export.write_json(graph, f"{path}/graph")
     export.write_vault(graph, labels, f"{path}/vault")
-    export.wiki_articles(graph, labels).select(F.col("article").alias("value")).write.text(f"{path}/wiki")
+    export.write_wiki(graph, labels, f"{path}/wiki")
     lines = export.report(graph, labels, title)
     lines.repartitionByRange(1, "section", "place").sortWithinPartitions("section", "place").select("line").write.text(f"{path}/report")

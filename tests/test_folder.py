@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from loomgraph.operators import export
 from loomgraph.plans import folder
 
@@ -27,6 +30,16 @@ def test_build_and_save(spark, tmp_path):
     assert any(r.relation == "mentions" for r in graph.edges.collect())
     assert [r.description for r in nodes.values() if r.label == "Thing"] == ["A thing that is described."]
     folder.save(graph, str(tmp_path / "out"))
+    vault, wiki = tmp_path / "out/vault", tmp_path / "out/wiki"
+    notes = {p.stem for p in vault.rglob("*.md")}
+    assert len(notes) == graph.nodes.count() + 1 + len(list((vault / "communities").glob("_COMMUNITY_*.md")))
+    linked = {m for p in vault.rglob("*.md") for m in re.findall(r"\[\[(.+?)\]\]", p.read_text())}
+    assert linked and linked <= notes
+    assert "# Vault Index" in (vault / "index.md").read_text()
+    assert json.loads((vault / ".vault/graph.json").read_text())["colorGroups"][0]["color"]["a"] == 1
+    index = (wiki / "index.md").read_text()
+    assert index.startswith("# Knowledge Graph Index\n") and "## God Nodes" in index and index.endswith("*Auto-generated knowledge wiki*")
+    assert (wiki / "GraphStore.md").read_text().startswith("# GraphStore\n")
     again = export.read_json(spark, str(tmp_path / "out/graph"))
     for part in ("nodes", "edges"):
         before, after = getattr(graph, part), getattr(again, part)
