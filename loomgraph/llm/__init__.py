@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale building blocks and the queries that run them.
+"""Training-data operators: thirteen corpus-scale building blocks and the queries that run them.
 
 Nothing else in the library imports this subpackage.
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, langid, mixing, quality_rules, sentencepiece_lattice, simhash, token_count, topk, url_filter, warc
+from . import filter_audit, katz, langid, mixing, quality_rules, sentencepiece_lattice, sharding, simhash, term_divergence, token_count, topk, url_filter, warc
 from .common import crc_fold, prepare, shared_dir, table
 from .oracles import ORACLES
 
@@ -81,9 +81,25 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+
+
+def op12_term_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return term_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    found = sharding.shards(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sharded.size", crc, F.lit("bytes").alias("law"), "sharded.shard", "sharded.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_quality_rules, op2_katz_backoff, op3_source_mixing, op4_language_id, op5_url_filter,
     op6_exact_top_k, op7_token_counts, op8_sentencepiece_lattice, op9_simhash_neardup, op10_warc_archives,
+    op11_filter_audit, op12_term_divergence, op13_sharding,
 )
 
 
