@@ -464,9 +464,7 @@ def test_keep_first_of_odd_rows(spark, odd):
 @pytest.mark.parametrize("bucket", [2, 64])
 def test_pipeline_links_near_copies(spark, monkeypatch, bucket):
     monkeypatch.setattr(shingle_join, "PAIR_BUCKET", bucket)
-    monkeypatch.setattr(shingle_join, "STAR_ROUNDS", 2)
-    monkeypatch.setattr(shingle_join, "FEW_PAIRS", 0 if bucket == 2 else 500_000)
-    monkeypatch.setattr(shingle_join, "PAIRS_A_ROW", 0 if bucket == 2 else 8)
+    monkeypatch.setattr(shingle_join, "PIVOTS", 1 if bucket == 2 else 4)
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(10**6)}"
     line = [word() for _ in range(20)]
