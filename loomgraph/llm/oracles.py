@@ -52,8 +52,9 @@ _BASE32 = "list_aggregate(list_transform(range(0, 8), lambda i: {0}), 'string_ag
     " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i + 1)::BIGINT, 5))::BIGINT >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))
 )
 WARC = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages)
-SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM p"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner,
+  row_number() OVER (PARTITION BY coalesce(html, ''), page_id ORDER BY url NULLS LAST) AS nth FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN owner IS NULL OR page_id = owner AND nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM owner OR nth > 1 THEN owner END AS refers_to FROM p"""
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

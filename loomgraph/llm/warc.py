@@ -1,13 +1,14 @@
 """WARC archives compressed with Zstandard: writer and reader.
 
-An archive starts with a skippable frame that holds the dictionary, then has one frame for each record, `ARCHIVE_RECORDS` at most. Spark's text
-writer makes the files, so they appear in any store Spark can write and only when a task commits: a row is a frame's
+An archive starts with a skippable frame that holds the dictionary, then has one frame for each record; it ends when it has `ARCHIVE_BYTES`
+or `ARCHIVE_RECORDS`, so only a record that is larger by itself makes a larger one. Spark's text
+writer makes the files, so they appear in any store Spark can write and only when a task commits: a row is an archive's
 bytes, and the line separator is an empty skippable frame, which readers of the format pass over.
 
 Of records with equal payloads, the one with the largest page_id is a response, the others are revisits that name it
-and carry no payload. Payloads under `min_bytes` are all responses. A null html is an empty payload; a null page_id
-sorts first and is named by an empty string; repeated rows are records of their own, of which the one with the largest
-page_id stays the response. The reader checks version, header lines, types, content lengths, the frame's end, the
+and carry no payload. If several rows have that page_id, one with the smallest url (null last) is the response. Payloads under
+`min_bytes` are all responses. A null html is an empty payload; a null page_id
+sorts first and is named by an empty string: nothing can refer to it, so where no row of a payload has a page_id all are responses. The reader checks version, header lines, types, content lengths, the frame's end, the
 payload's length and its digest, and fails on the first record that is wrong.
 """
 
@@ -32,8 +33,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Bounds of what the dictionary is trained on, and its size.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 65_536
 LEVEL = 3
-#: Records in one archive at most: some 100 MB of usual pages, so that a reader's task holds an archive at a time.
-ARCHIVE_RECORDS = 20_000
+#: An archive's size: a writer's and a reader's task hold one at a time.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 32 << 20, 20_000
 
 
 class WarcError(ValueError):
@@ -164,44 +165,56 @@ def read_archive(content: bytes) -> Iterator[dict]:
 def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """`pages` with payload_digest and refers_to (null for responses)."""
     rows = pages.select("page_id", "url", "html", payload_digest(F.col("html")).alias("payload_digest"))
-    keys = rows.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes).groupBy("payload_digest")
-    owners = keys.agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "owner")
-    rows = rows.join(owners, "payload_digest", "left")
     small = F.coalesce(F.octet_length("html"), F.lit(0)) < min_bytes
-    revisits = F.col("owner").isNotNull() & ~small & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    return rows.select("page_id", "url", "html", "payload_digest", F.when(revisits, F.col("owner")).alias("refers_to"))
+    of_page = rows.where(~small).groupBy("payload_digest", "page_id").agg(F.count("*").alias("m"))
+    top = of_page.groupBy("payload_digest").agg(F.max(F.struct("page_id", "m")).alias("top"), F.sum("m").alias("n")).where("n > 1")
+    owners = top.select("payload_digest", F.col("top.page_id").alias("owner"), (F.col("top.m") > 1).alias("several"))
+    met = rows.join(owners, "payload_digest", "left")
+    is_owner = F.col("page_id").eqNullSafe(F.col("owner"))
+    tied = F.coalesce("several", F.lit(False)) & ~small & is_owner & F.col("page_id").isNotNull()
+    revisits = F.col("owner").isNotNull() & ~small & ~is_owner
+    columns = ["page_id", "url", "html", "payload_digest"]
+    others = met.where(~tied).select(*columns, F.when(revisits, F.col("owner")).alias("refers_to"))
+    # Rows of one page_id and payload differ by url at most, so they are counted, not sorted.
+    same = met.where(tied).groupBy("payload_digest", "page_id", "url").agg(F.first("html").alias("html"), F.count("*").alias("m"))
+    named = F.struct(F.col("url").isNull().alias("none"), "url")
+    head = same.groupBy("payload_digest").agg(F.min(named).alias("head"))
+    same = same.join(head, "payload_digest").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    repeated = (F.col("nth") > 1) | ~F.col("url").eqNullSafe(F.col("head.url"))
+    return others.unionByName(same.select(*columns, F.when(repeated, F.col("page_id")).alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archives: int | None = None, records: int = ARCHIVE_RECORDS) -> None:
     """Writes a record for each row of `pages` (page_id, url, html) to Zstandard archives in the folder `path`.
 
-    Each task begins an archive, and another one whenever it has written `records`; a number of tasks can be asked for, at the
-    price of one more shuffle.
+    Each task begins an archive, and another one whenever it has written `records` or ARCHIVE_BYTES; a number of tasks can be asked for,
+    at the price of one more shuffle.
     """
-    words = train_dictionary(pages)
+    words, most = train_dictionary(pages), ARCHIVE_BYTES
 
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         first = DICTIONARY_MAGIC + struct.pack("<I", len(words)) + words
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-        written = 0
+        archive, written = bytearray(first), 0
         for pdf in batches:
-            out = []
             for page_id, url, html, digested, owner in zip(pdf.page_id, pdf.url, pdf.html, pdf.payload_digest, pdf.refers_to):
                 page_id, owner = (None if x is None else int(x) for x in (page_id, owner))
-                if written % records == 0:
-                    out.append(first)
+                frame = writer.compress(record_bytes(page_id, url, (html or "").encode("utf-8"), digested, owner))
+                if written and (written == records or len(archive) + len(frame) > most):
+                    yield pd.DataFrame({"archive": [bytes(archive)]})
+                    archive, written = bytearray(first), 0
+                archive += frame
                 written += 1
-                out.append(writer.compress(record_bytes(page_id, url, (html or "").encode("utf-8"), digested, owner)))
-            yield pd.DataFrame({"frame": out})
+        if written:
+            yield pd.DataFrame({"archive": [bytes(archive)]})
 
     typed = record_types(pages, min_bytes)
     typed = typed.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # whole numbers with nulls lose digits in pandas
     typed = typed.repartition(archives) if archives else typed
-    as_text = typed.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    # The writer begins a file after as many rows as an archive has frames.
-    as_text.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", records + 1).text(path)
+    as_text = typed.mapInPandas(whole, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    as_text.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"

@@ -313,12 +313,20 @@ def test_links_lose_nothing(spark, monkeypatch, bucket):
 
 
 def brute_warc(rows):
-    last = {}
-    for i, _, h in rows:
-        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
-    return Counter(
-        (i, len((h or "").encode()), warc.digest((h or "").encode()), *(("response", None) if (-1 if i is None else i) == last[h or ""] else ("revisit", last[h or ""]))) for i, _, h in rows
-    )
+    """Of the rows with the largest page_id of a payload one, whose url is the smallest, is the response."""
+    of = defaultdict(list)
+    for i, url, h in rows:
+        of[h or ""].append((i, url))
+    out = Counter()
+    for h, pages in of.items():
+        owner = max((i for i, _ in pages if i is not None), default=None)
+        head = None if owner is None else min(((i, u) for i, u in pages if i == owner), key=lambda x: (x[1] is None, x[1] or ""))
+        told = (len(h.encode()), warc.digest(h.encode()))
+        for page in pages:
+            response = owner is None or page == head
+            head = None if page == head else head
+            out[page[0], *told, *(("response", None) if response else ("revisit", owner))] += 1
+    return out
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -347,6 +355,24 @@ def test_warc_rolls_archives(spark, tmp_path):
     assert {bytes(r.payload).decode() for r in got if r.payload is not None} == {r[2] for r in rows}
 
 
+def test_warc_of_a_page_id_that_repeats(spark, tmp_path):
+    rows = [(7, "a", "x"), (7, "b", "x"), (7, "b", "x"), (7, None, "x"), (3, "c", "x"), (None, "d", "x"), (8, None, "y"), (8, None, "y"), (None, "e", "z"), (None, "f", "z")] + [(9, "again", "hot")] * 500
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), str(tmp_path / "t"))
+    got = warc.read_archives(spark, str(tmp_path / "t")).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute_warc(rows)
+    assert [r.url for r in got if r.record_type == "response" and r.page_id == 7] == ["a"]
+
+
+def test_warc_archives_end_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 60_000)
+    rng = random.Random(6)
+    rows = [(i, "u", "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(100_000 if i == 5 else 3_000))) for i in range(90)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "b"), archives=2)
+    archives = [open(p, "rb").read() for p in glob.glob(str(tmp_path / "b" / "part-*"))]
+    held = [len(list(warc.read_archive(a))) for a in archives]
+    assert sum(held) == 90 and len(held) > 4 and all(len(a) <= 60_008 or n == 1 for a, n in zip(archives, held, strict=True))
+
+
 def test_warc_empty_and_small(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(none, str(tmp_path / "e"))
