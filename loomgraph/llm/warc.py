@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 # Fixed values of the format: the dictionary's skippable frame, and an empty skippable frame.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
 EMPTY_FRAME = "P*M\x18\0\0\0\0"
@@ -168,13 +170,16 @@ def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     small = F.coalesce(F.octet_length("html"), F.lit(0)) < min_bytes
     of_page = rows.where(~small).groupBy("payload_digest", "page_id").agg(F.count("*").alias("m"))
     top = of_page.groupBy("payload_digest").agg(F.max(F.struct("page_id", "m")).alias("top"), F.sum("m").alias("n")).where("n > 1")
-    owners = top.select("payload_digest", F.col("top.page_id").alias("owner"), (F.col("top.m") > 1).alias("several"))
+    owners = checkpointed(top.select("payload_digest", F.col("top.page_id").alias("owner"), (F.col("top.m") > 1).alias("several")))
     met = rows.join(owners, "payload_digest", "left")
     is_owner = F.col("page_id").eqNullSafe(F.col("owner"))
-    tied = F.coalesce("several", F.lit(False)) & ~small & is_owner & F.col("page_id").isNotNull()
     revisits = F.col("owner").isNotNull() & ~small & ~is_owner
     columns = ["page_id", "url", "html", "payload_digest"]
-    others = met.where(~tied).select(*columns, F.when(revisits, F.col("owner")).alias("refers_to"))
+    typed = [*columns, F.when(revisits, F.col("owner")).alias("refers_to")]
+    if owners.where("several and owner is not null").isEmpty():
+        return met.select(*typed)
+    tied = F.coalesce("several", F.lit(False)) & ~small & is_owner & F.col("page_id").isNotNull()
+    others = met.where(~tied).select(*typed)
     # Rows of one page_id and payload differ by url at most, so they are counted, not sorted.
     same = met.where(tied).groupBy("payload_digest", "page_id", "url").agg(F.first("html").alias("html"), F.count("*").alias("m"))
     named = F.struct(F.col("url").isNull().alias("none"), "url")
