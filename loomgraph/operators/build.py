@@ -48,18 +48,34 @@ def union_records(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def first_hyperedges(records: DataFrame) -> DataFrame:
+    """Groups of nodes (id, nodes, ..., ord), one row for each id: the whole first record stays. Records without id are dropped."""
+    rest = [c for c in records.columns if c != "id"]
+    first = records.where("id is not null and id <> ''").groupBy("id").agg(F.min_by(F.struct(*rest), "ord").alias("first"))
+    return first.select("id", *[F.col(f"first.{c}").alias(c) for c in rest])
+
+
 @dataclass(frozen=True)
 class Graph:
-    """Nodes (id, label, file_type, source_file, community, ord, ...) and edges (a, b, src, tgt, relation, confidence, ord, ...)."""
+    """Nodes (id, label, file_type, source_file, community, ord, ...) and edges (a, b, src, tgt, relation, confidence, ord, ...), and groups of
+    nodes (id, label, nodes, relation, confidence, confidence_score, source_file, ord) where something has said any."""
 
     nodes: DataFrame
     edges: DataFrame
+    hyperedges: DataFrame | None = None
 
     @classmethod
     def build(cls, nodes: DataFrame, edges: DataFrame) -> Graph:
         nodes = upsert_nodes(nodes)
         return cls(nodes, upsert_edges(edges, nodes))
 
+    def with_hyperedges(self, records: DataFrame) -> Graph:
+        """The graph with more hyperedges; of equal ids those it has stay, then the first."""
+        had = self.hyperedges
+        if had is not None:
+            records = had.unionByName(records.join(had.select("id"), "id", "left_anti"), allowMissingColumns=True)
+        return Graph(self.nodes, self.edges, first_hyperedges(records))
+
     @cached_property
     def sides(self) -> DataFrame:
         """Each edge from both of its ends: id, other and the edge's columns; a loop appears once."""
@@ -79,4 +95,4 @@ class Graph:
         edges = self.edges
         for end in ("a", "b"):
             edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
-        return Graph(self.nodes.join(ids, "id", "left_semi"), edges.select(self.edges.columns))
+        return Graph(self.nodes.join(ids, "id", "left_semi"), edges.select(self.edges.columns), self.hyperedges)

@@ -39,21 +39,24 @@ def parse_python(path: str, text: str) -> list[dict]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
         return []
-    stem_, rows = re.sub(r"(?<=.)\.[^.]+$", "", path.rsplit("/", 1)[-1]), []
+    stem_, rows, seen = re.sub(r"(?<=.)\.[^.]+$", "", path.rsplit("/", 1)[-1]), [], set()
     file_id = make_id(stem_)
 
     def add(kind: str, **values) -> None:
-        rows.append({"kind": kind, "source_file": path, "nth": len(rows), **values})
+        rows.append({"kind": kind, "source_file": path, "nth": len(rows)} | values)
 
-    def node(id_: str, label: str, line: int, **more) -> None:
-        add("node", id=id_, label=label, line=line, file_type="code", **more)
+    def node(id_: str, label: str, line: int | None, **more) -> None:
+        """A file's first declaration of a name is the one that counts."""
+        if id_ not in seen:
+            seen.add(id_)
+            add("node", **{"id": id_, "label": label, "line": line, "file_type": "code"} | more)
 
     def edge(source: str, target: str, relation: str, line: int, confidence: str = "EXTRACTED", weight: float = 1.0) -> None:
         add("edge", source=source, target=target, relation=relation, line=line, confidence=confidence, weight=weight)
 
     def reason(said: str, line: int, of: str) -> None:
         id_ = make_id(stem_, "rationale", str(line))
-        add("node", id=id_, label=said[:80].replace("\n", " ").strip(), line=line, file_type="rationale")
+        node(id_, said[:80].replace("\n", " ").strip(), line, file_type="rationale")
         edge(id_, of, "rationale_for", line)
 
     def docstring(owner: ast.AST, of: str) -> None:
@@ -66,11 +69,18 @@ def parse_python(path: str, text: str) -> list[dict]:
         return re.sub(r"\s+", " ", head)[:MAX_SIGNATURE]
 
     def calls(f, id_: str) -> None:
-        for x in ast.walk(f):
+        """Calls in the function's body; the bodies of functions within it are their own."""
+        left = [*f.body]
+        while left:
+            x = left.pop()
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                left += x.decorator_list
+                continue
             if isinstance(x, ast.Call):
                 name = x.func.id if isinstance(x.func, ast.Name) else x.func.attr if isinstance(x.func, ast.Attribute) else ""
                 if name:
                     add("call", source=id_, name=name, line=x.lineno)
+            left += ast.iter_child_nodes(x)
 
     def walk(body: list, owner: str | None) -> None:
         for x in body:
@@ -82,9 +92,9 @@ def parse_python(path: str, text: str) -> list[dict]:
                 for base in x.bases:
                     name = re.split(r"[\[.]", ast.unparse(base))[0 if "[" in ast.unparse(base) else -1]
                     base_id = make_id(stem_, name)
-                    if not any(r["kind"] == "node" and r["id"] == base_id for r in rows):
+                    if base_id not in seen:
                         base_id = make_id(name)
-                        rows.append({"kind": "node", "id": base_id, "label": name, "file_type": "code", "source_file": "", "nth": len(rows)})
+                        node(base_id, name, None, source_file="")
                     edge(id_, base_id, "extends", x.lineno)
                 walk(x.body, id_)
             elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):

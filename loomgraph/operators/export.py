@@ -46,15 +46,18 @@ def confidence_scores(graph: Graph) -> DataFrame:
 
 
 def json_lines(graph: Graph) -> DataFrame:
-    """The graph as JSON with all attributes that aren't null, one object in a row: kind (node or link) and json."""
+    """The graph as JSON with all attributes that aren't null, one object in a row: kind (node, link or hyperedge) and json."""
     node = graph.nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("json"))
     rest = [c for c in graph.edges.columns if c not in ("a", "b", "src", "tgt", "confidence_score")]
     link = F.struct(*_ends(), F.col("src").isNotNull().alias("directed"), _score(graph.edges).alias("confidence_score"), *rest)
-    return node.unionByName(graph.edges.select(F.lit("link").alias("kind"), F.to_json(link).alias("json")))
+    rows = node.unionByName(graph.edges.select(F.lit("link").alias("kind"), F.to_json(link).alias("json")))
+    if graph.hyperedges is not None:
+        rows = rows.unionByName(graph.hyperedges.select(F.lit("hyperedge").alias("kind"), F.to_json(F.struct("*")).alias("json")))
+    return rows
 
 
 def write_json(graph: Graph, path: str) -> None:
-    """Node-link JSON as text files, one folder for nodes and one for links."""
+    """Node-link JSON as text files, one folder for nodes, one for links and one for hyperedges, if there are any."""
     json_lines(graph).write.partitionBy("kind").text(path)
 
 
@@ -64,7 +67,9 @@ def read_json(spark: SparkSession, path: str) -> Graph:
     nodes = lines.where("kind = 'node'").select(F.from_json("value", schema.NODE).alias("n")).select("n.*")
     links = lines.where("kind = 'link'").select(F.from_json("value", f"{schema.EDGE}, directed boolean").alias("e")).select("e.*")
     links = links.withColumns({"directed": F.coalesce("directed", F.lit(True)), "ord": F.coalesce("ord", F.concat_ws("|", "source", "target"))})
-    return Graph.build(nodes.withColumn("ord", F.coalesce("ord", "id")), links)
+    groups = lines.where("kind = 'hyperedge'").select(F.from_json("value", schema.HYPEREDGE).alias("h")).select("h.*")
+    built = Graph.build(nodes.withColumn("ord", F.coalesce("ord", "id")), links)
+    return built if groups.isEmpty() else built.with_hyperedges(groups.withColumn("ord", F.coalesce("ord", "id")))
 
 
 def file_names(nodes: DataFrame) -> DataFrame:
@@ -220,31 +225,6 @@ def chart_nodes(graph: Graph) -> DataFrame:
     )
 
 
-def report(graph: Graph, labels: DataFrame, title: str = "corpus") -> DataFrame:
-    """The report's lines: section, place, line."""
-    s = metrics.stats(graph).join(metrics.inferred_score(graph))  # rows of one
-    sums = s.select(
-        F.array(
-            F.concat(F.lit(f"# Knowledge Wiki Report - {title}")),
-            F.concat(F.lit("- "), "nodes", F.lit(" nodes · "), "edges", F.lit(" edges · "), "communities", F.lit(" communities detected")),
-            F.concat(F.lit("- Extraction: "), "extracted_pct", F.lit("% EXTRACTED · "), "inferred_pct", F.lit("% INFERRED · "), "ambiguous_pct", F.lit("% AMBIGUOUS · INFERRED: "), "inferred", F.lit(" edges")),
-        ).alias("lines")
-    ).select(F.lit(1).alias("section"), F.posexplode("lines").alias("place", "line"))
-    gods = metrics.god_nodes(graph).withColumn("place", F.row_number().over(W.orderBy(F.col("edges").desc(), "id")))
-    gods = gods.select(F.lit(2).alias("section"), "place", F.concat("place", F.lit(". `"), "label", F.lit("` - "), "edges", F.lit(" edges")).alias("line"))
-    found = metrics.cross_file_surprises(graph)
-    odd = found.withColumn("place", F.row_number().over(W.orderBy(F.col("score").desc(), "source", "target", "relation")))
-    odd = odd.select(F.lit(3).alias("section"), "place", F.concat(F.lit("- `"), "source", F.lit("` --"), "relation", F.lit("--> `"), "target", F.lit("`  ["), "confidence", F.lit("]")).alias("line"))
-    groups = metrics.first_labels(graph).join(metrics.cohesion(graph).select("community", "cohesion"), "community").join(labels, "community")
-    groups = groups.select(
-        F.lit(4).alias("section"), F.col("community").alias("place"),
-        F.concat(F.lit("### Community "), "community", F.lit(' - "'), "label", F.lit('"\nCohesion: '), two_digits(F.col("cohesion")), F.lit("\nNodes ("), "nodes", F.lit("): "), "shown").alias("line"),
-    )
-    alone = metrics.isolated(graph).agg(F.count("*").alias("n")).where("n > 0")
-    gaps = alone.select(F.lit(5).alias("section"), F.lit(1).alias("place"), F.concat(F.lit("- **"), "n", F.lit(" isolated node(s)**: at most one connection, missing edges or undocumented components.")).alias("line"))
-    return sums.unionByName(gods).unionByName(odd).unionByName(groups).unionByName(gaps)
-
-
 def wiki_index(graph: Graph, labels: DataFrame) -> DataFrame:
     """The wiki's index: section, place, line. Communities, the largest first, then the most connected nodes."""
     counts = graph.nodes.agg(F.count("*").alias("nodes"), F.countDistinct("community").alias("communities"))

@@ -30,13 +30,13 @@ def refreshed(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return cache.join(fresh.select("source_file"), "source_file", "left_anti").unionByName(fresh)
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+def changes(before: DataFrame, after: DataFrame, younger: bool = True) -> DataFrame:
     """(path, status) between two manifests (path, mtime): new, modified, unchanged or deleted.
 
-    A file counts as modified only if it is younger than before.
+    A file counts as modified if it is younger than before, or without `younger` if its time is another one.
     """
     joined = before.withColumnRenamed("mtime", "old").join(after.withColumnRenamed("mtime", "now"), "path", "full_outer")
-    status = F.when(F.col("old").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("now") > F.col("old"), "modified").otherwise("unchanged")
+    status = F.when(F.col("old").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("now") > F.col("old") if younger else F.col("now") != F.col("old"), "modified").otherwise("unchanged")
     return joined.select("path", status.alias("status"))
 
 

@@ -6,6 +6,7 @@ import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .build import Graph
@@ -63,10 +64,27 @@ def shortest_path(graph: Graph, source: str, target: str, max_hops: int | None =
     return steps.select("hop", "id", "label", F.when(F.col("hop") > 0, F.col("relation")).alias("relation"))
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """`df` with a column that numbers its rows from 0 in the order of columns. Ranges of rows are sorted each in a task of its own;
+    their lengths, one row for each task, give their first numbers."""
+    sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(sorted_parts.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    lengths = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = lengths.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    met = rows.withColumn("_part", part).join(before, "_part")
+    return met.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 def components(graph: Graph, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each node is connected with. Labels jump along and over edges until they rest."""
-    sides = cut(graph.sides.select("id", "other"))
-    labels = cut(graph.nodes.select("id", F.col("id").alias("component")))
+    """(id, component): the smallest id that each node is connected with."""
+    return linked(graph.nodes.select("id"), graph.sides.select("id", "other"), max_rounds)
+
+
+def linked(ids: DataFrame, sides: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, component) over sides (id, other), both directions of each edge. Labels jump along and over edges until they rest."""
+    sides = cut(sides)
+    labels = cut(ids.select("id", F.col("id").alias("component")))
     for _ in range(max_rounds):
         near = sides.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))

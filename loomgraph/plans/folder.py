@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import extension
-from ..operators import code, community, docs, export, xref
+from ..operators import code, community, docs, export, questions, report, xref
 from ..operators.build import Graph, union_records, upsert_edges, upsert_nodes
 from ..operators.paths import cut
 from ..sources import files, office
+from ..streaming.watch import watch
 
 
 def code_records(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,11 +59,22 @@ def build(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Gr
     return Graph(cut(nodes.drop("community").join(community.cluster(graph), "id")), graph.edges)
 
 
-def save(graph: Graph, path: str, title: str = "corpus") -> None:
-    """The graph as JSON, its vault of notes, its wiki and its report, in folders below `path`."""
+def save(graph: Graph, path: str, title: str = "corpus", found: DataFrame | None = None) -> None:
+    """The graph as JSON, its vault of notes, its wiki and its report, in folders below `path`. `found` is the corpus's scan."""
     labels = cut(community.labels(graph))
     export.write_json(graph, f"{path}/graph")
     export.write_vault(graph, labels, f"{path}/vault")
     export.write_wiki(graph, labels, f"{path}/wiki")
-    lines = export.report(graph, labels, title)
+    total = None if found is None else files.warning(found)
+    lines = cut(report.report(graph, labels, title, total, questions.suggest_questions(graph, labels)))
     lines.repartitionByRange(1, "section", "place").sortWithinPartitions("section", "place").select("line").write.text(f"{path}/report")
+
+
+def keep_built(spark: SparkSession, root: str, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Watches a folder and, whenever files have changed, builds its graph anew and saves it to `path`/<number of the batch>."""
+
+    def rebuilt(changes: DataFrame, batch: int) -> None:
+        graph = build(spark, root)
+        save(graph, f"{path}/{batch}-{uuid.uuid4().hex[:8]}", found=files.scan(spark, root))
+
+    return watch(spark, root, rebuilt, checkpoint, available_now=available_now)

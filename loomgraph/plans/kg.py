@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.build import Graph
+from ..operators.paths import cut
 from ..operators.xref import words
 
 
@@ -100,15 +101,30 @@ def edge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def hyperedge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of nodes: the parts of each order, said again (and to be passed over) of every third, and packs without label; records without id count for nothing."""
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")))).alias("nodes"))
+    key = F.col("l_orderkey").cast("string")
+
+    def group(rows: DataFrame, id_: Column, label: Column, relation: str, sure: str | None, score: Column, rank: int) -> DataFrame:
+        return rows.select(id_.alias("id"), label.alias("label"), "nodes", F.lit(relation).alias("relation"), F.lit(sure).cast("string").alias("confidence"), score.cast("double").alias("confidence_score"), F.lit("").alias("source_file"), F.concat(F.lit(f"{rank}:"), F.lpad(key, 12, "0")).alias("ord"))
+
+    said = group(parts, F.concat(F.lit("order:"), key), F.concat(F.lit("Order "), key), "participate_in", "INFERRED", (F.col("l_orderkey") % 100) / 100, 1)
+    again = group(parts.where("l_orderkey % 3 = 0"), F.concat(F.lit("order:"), key), F.lit("said again"), "form", "AMBIGUOUS", F.lit(None), 2)
+    plain = group(parts.where("l_orderkey % 7 = 0"), F.concat(F.lit("pack:"), key), F.lit(None).cast("string"), "form", None, F.lit(None), 3)
+    return said.unionByName(again).unionByName(plain).unionByName(group(parts.where("l_orderkey % 50 = 0"), F.lit(""), F.lit("no id"), "form", None, F.lit(None), 0))
+
+
 _BUILT: dict[tuple[str, str], Graph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The built graph. It is computed once in a session and kept by the executors, as a saved graph would be."""
+    """The built graph. It is computed once in a session and written to the shared folder, as a saved graph would be."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT or not _BUILT[key].edges.is_cached:
+    if key not in _BUILT:
         built = Graph.build(node_records(spark, sf_dir), edge_records(spark, sf_dir))
-        _BUILT[key] = Graph(built.nodes.persist(), built.edges.persist())
+        nodes = cut(built.nodes)
+        _BUILT[key] = Graph(nodes, cut(built.edges))
     return _BUILT[key]
 
 
@@ -138,6 +154,60 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("parts/part_"), k, F.lit(".py")).alias("source_file"), text.alias("text"))
 
 
+def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_file, text: each supplier rendered as a Python module; even ones have nested and decorated functions and names declared
+    twice, odd ones classes, functions and imports in branches, and a base class of their own."""
+    twice = """import os
+
+
+class Till@K:
+    @property
+    def price(self):
+        return self._price
+
+    @price.setter
+    def price(self, value):
+        self._price = helper_@K(value)
+
+
+@wraps_@K
+def helper_@K(x):
+    def inner(y):
+        return other_@K(y)
+
+    return os.path.join(str(x))
+
+
+def other_@K(x):
+    return x
+
+
+def other_@K(x, y):
+    return helper_@K(y)
+"""
+    branches = """try:
+    import json
+except ImportError:
+    from .shop_0 import Till0
+
+if True:
+    class Base@K:
+        pass
+
+    class Till@K(Base@K):
+        async def load(self, n: int=1) -> list:
+            return helper_@K(n)
+else:
+    def helper_@K(x):
+        # WHY: shop @K
+        return Till@K()
+"""
+    k = F.col("s_suppkey").cast("string")
+    body = F.replace(F.when(F.col("s_suppkey") % 2 == 0, twice).otherwise(branches), F.lit("@K"), k)
+    text = F.concat(F.lit('"""Shop of '), "s_name", F.lit(' and others."""\n'), body)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("shops/shop_"), k, F.lit(".py")).alias("source_file"), text.alias("text"))
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_file, text: each supplier rendered as a Java file with doc comments."""
     k = F.col("s_suppkey").cast("string")

@@ -9,6 +9,7 @@ from ..functions.secrets import BLOB, PATTERNS
 from ..operators.docs import GENERIC_HEADINGS
 from ..operators.export import COLORS, FOOTER
 from ..operators.metrics import CATEGORIES
+from ..operators.report import ISOLATED, THIN
 from ..schema import STRUCTURAL
 from ..sources import files
 
@@ -203,6 +204,13 @@ clean AS (SELECT id, ord, CASE WHEN t = '' THEN 'unnamed' ELSE t END AS base FRO
 named AS (SELECT id, CASE WHEN nth > 0 THEN base || '_' || nth ELSE base END AS file FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(base, '[…. ]+$', '') ORDER BY ord) - 1 AS nth FROM clean)),
 dom AS (SELECT nodes.id, coalesce(c.confidence, 'EXTRACTED') AS confidence FROM nodes LEFT JOIN (SELECT id, confidence FROM (SELECT id, confidence, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(ord)) AS r
   FROM sides GROUP BY id, confidence) WHERE r = 1) c USING (id))"""
+HYPEREDGES = """
+of_order AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT 'part:' || l_partkey)) AS nodes FROM lineitem GROUP BY l_orderkey),
+hyper AS (SELECT 'order:' || k AS id, 'Order ' || k AS label, nodes, 'participate_in' AS relation, 'INFERRED' AS confidence, (k % 100) / 100 AS confidence_score, '1:' || lpad(k::VARCHAR, 12, '0') AS ord FROM of_order
+  UNION ALL SELECT 'pack:' || k, NULL, nodes, 'form', NULL, NULL, '3:' || lpad(k::VARCHAR, 12, '0') FROM of_order WHERE k % 7 = 0)"""
+SHOPS = "shop AS (SELECT s_suppkey AS k, s_suppkey % 2 = 0 AS even, s_name, 'shop_' || s_suppkey AS id, 'shops/shop_' || s_suppkey || '.py' AS source_file FROM supplier)"
+#: A name of a shop's module: words that hold the shop's number get it.
+_OWN = "regexp_replace(regexp_replace({0}, '^_(till|base)', '_\\1' || k), '^_(helper|other)$', '_\\1_' || k)"
 KIND = "coalesce(nullif(file_type, ''), 'other')"
 
 
@@ -210,6 +218,19 @@ def _graph(body: str, *more: str) -> str:
     return f"WITH {GRAPH}{''.join(',' + m for m in more)}\n{body}"
 
 
+def _search(start: str) -> str:
+    """Breadth-first search: each node once, with the smallest of its shortest paths."""
+    return (
+        f"bfs(id, hops, path) USING KEY (id) AS (SELECT '{start}', 0, ['{start}'] UNION SELECT link.other, min(bfs.hops) + 1, min(list_append(bfs.path, link.other)) "
+        "FROM bfs JOIN link ON link.id = bfs.id LEFT JOIN recurring.bfs AS seen ON seen.id = link.other WHERE seen.id IS NULL GROUP BY link.other)"
+    )
+
+
+def _reached(body: str, *more: str) -> str:
+    """SQL over a search of all links between two nodes."""
+    return f"WITH RECURSIVE {GRAPH}, link AS MATERIALIZED (SELECT DISTINCT id, other FROM sides WHERE id <> other){''.join(',' + m for m in more)}\n{body}"
+
+
 def _md5(x: str) -> str:
     return f"md5({x}) AS digest"
 
@@ -284,6 +305,17 @@ best AS (SELECT id FROM deg ORDER BY degree DESC, ord LIMIT 200),
 pick AS (SELECT id FROM best UNION SELECT other FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord, other) AS place FROM sides WHERE id IN (SELECT id FROM best)) WHERE place <= 3),
 shown AS (SELECT * FROM nodes WHERE (SELECT count(*) FROM nodes) <= 5000 OR id IN (SELECT id FROM pick))""",
     ),
+    "a28_ambiguous": _graph("SELECT '- `' || x.label || '` → `' || y.label || '`  [AMBIGUOUS]' || chr(10) || '   · relation: ' || relation AS line FROM edges JOIN nodes x ON x.id = src JOIN nodes y ON y.id = tgt WHERE confidence = 'AMBIGUOUS'"),
+    "a28_gaps": _graph(
+        f"""SELECT 0::BIGINT AS place, '- **' || count(*) || ' isolated node(s):** ' || string_agg('`' || label || '`', ', ' ORDER BY ord, id) FILTER (WHERE r <= 5) || CASE WHEN count(*) > 5 THEN ' (+' || (count(*) - 5) || ' more)' ELSE '' END || chr(10) || '{ISOLATED}' AS line
+  FROM (SELECT *, row_number() OVER (ORDER BY ord, id) AS r FROM flag WHERE degree <= 1 AND NOT is_file AND NOT is_concept) HAVING count(*) > 0
+  UNION ALL SELECT community + 1, '- **Thin community `Group ' || community || '`** (' || count(*) || ' nodes): ' || string_agg('`' || label || '`', ', ' ORDER BY ord) || chr(10) || '{THIN}' FROM nodes WHERE community IS NOT NULL GROUP BY community HAVING count(*) < 3
+  UNION ALL SELECT 1099511627776, '- **High ambiguity: ' || {PCT.format('m', 'edges')} || '% of edges are AMBIGUOUS.** Review the Ambiguous Edges section above.' FROM stats WHERE {PCT.format('m', 'edges')} > 20""",
+        STATS,
+    ),
+    "a28_hyperedges": f"WITH {HYPEREDGES} SELECT row_number() OVER (ORDER BY ord, id) - 1 AS place, '- **' || coalesce(label, id) || '** — ' || array_to_string(nodes, ', ') || ' [' || coalesce(confidence, 'INFERRED') || CASE WHEN confidence_score IS NULL THEN '' ELSE ' ' || {TWO.format('confidence_score')} END || ']' AS line FROM hyper",
+    "b_hyperedges": f"WITH {HYPEREDGES} SELECT id, label, array_to_string(nodes, ',') AS nodes, relation, confidence, confidence_score FROM hyper",
+    "a20_hyperedge_json": f"WITH {HYPEREDGES} SELECT id, label, len(nodes)::INTEGER AS members, confidence_score, ord FROM hyper",
     "a29_activity_log": "SELECT event_id, '## [' || strftime(ts, '%Y-%m-%d %H:%M') || '] [' || event_type || '] | user ' || user_id AS line FROM events",
     "a30_safe_labels": r"""SELECT page_id, md5(replace(replace(replace(replace(replace(substr(regexp_replace(html, '[\x00-\x1f\x7f]', '', 'g'), 1, 256), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS digest FROM pages""",
     "b1_headings": f"WITH {NOTE}{HEADING} SELECT source_file, line_no, level, heading FROM heading",
@@ -323,6 +355,23 @@ shown AS (SELECT * FROM nodes WHERE (SELECT count(*) FROM nodes) <= 5000 OR id I
     "c12_reasons": f"""WITH {PYTHON} SELECT 'part_' || k || '_rationale_1' AS id, left('Module of ' || p_name || ' with all its parts.', 80) AS label, 1 AS line FROM py
   UNION ALL SELECT 'part_' || k || '_rationale_7', 'Class of brand ' || p_brand || ' and type.', 7 FROM py UNION ALL SELECT 'part_' || k || '_rationale_14', '# NOTE: size ' || p_size, 14 FROM py""",
     "c13_imported_classes": f"WITH {PYTHON} SELECT 'part_' || k || '_part' || k AS source, 'part_' || k1 || '_part' || k1 AS target, 3 AS line FROM py WHERE k1 IN (SELECT k FROM py)",
+    "c2_branched_nodes": f"""WITH {SHOPS} SELECT id, 'shop_' || k || '.py' AS label, 'code' AS file_type, source_file, 1 AS line, NULL AS signature FROM shop
+  UNION ALL SELECT id || '_rationale_1', 'Shop of ' || s_name || ' and others.', 'rationale', source_file, 1, NULL FROM shop
+  UNION ALL SELECT id || '_till' || k, 'Till' || k, 'code', source_file, CASE WHEN even THEN 5 ELSE 11 END, NULL FROM shop
+  UNION ALL SELECT id || '_helper_' || k, 'helper_' || k || '()', 'code', source_file, CASE WHEN even THEN 16 ELSE 15 END, 'def helper_' || k || '(x)' FROM shop
+  UNION ALL SELECT id || '_till' || k || '_price', '.price()', 'code', source_file, 7, 'def price(self)' FROM shop WHERE even
+  UNION ALL SELECT id || '_other_' || k, 'other_' || k || '()', 'code', source_file, 23, 'def other_' || k || '(x)' FROM shop WHERE even
+  UNION ALL SELECT id || '_base' || k, 'Base' || k, 'code', source_file, 8, NULL FROM shop WHERE NOT even
+  UNION ALL SELECT id || '_till' || k || '_load', '.load()', 'code', source_file, 12, 'async def load(self, n: int=1) -> list' FROM shop WHERE NOT even
+  UNION ALL SELECT id || '_rationale_16', '# WHY: shop ' || k, 'rationale', source_file, 16, NULL FROM shop WHERE NOT even""",
+    "c8_branched_edges": f"""WITH {SHOPS}, line(even, source, target, relation, line) AS (VALUES (true, '', 'os', 'imports', 2), (true, '', '@_till', 'contains', 5), (true, '_till', '@_till_price', 'method', 7), (true, '_till', '@_till_price', 'method', 11), (true, '', '@_helper', 'contains', 16),
+  (true, '', '@_other', 'contains', 23), (true, '', '@_other', 'contains', 27), (true, '_rationale_1', '@', 'rationale_for', 1), (false, '_rationale_1', '@', 'rationale_for', 1), (false, '', 'json', 'imports', 3), (false, '', 'shop_0', 'imports_from', 5), (false, '', '@_base', 'contains', 8),
+  (false, '', '@_till', 'contains', 11), (false, '_till', '@_base', 'extends', 11), (false, '_till', '@_till_load', 'method', 12), (false, '', '@_helper', 'contains', 15), (false, '_rationale_16', '@', 'rationale_for', 16))
+  SELECT id || {_OWN.format('source')} AS source, CASE WHEN starts_with(target, '@') THEN id || {_OWN.format('substr(target, 2)')} ELSE target END AS target, relation, source_file, line FROM shop JOIN line USING (even)""",
+    "c9_nested_calls": f"""WITH {SHOPS} SELECT id || '_till' || k || '_price' AS source, id || '_helper_' || k AS target, 'calls' AS relation, 'INFERRED' AS confidence, 12 AS line FROM shop WHERE even
+  UNION ALL SELECT id || '_other_' || k, id || '_helper_' || k, 'calls', 'INFERRED', 28 FROM shop WHERE even
+  UNION ALL SELECT id || '_till' || k || '_load', id || '_helper_' || k, 'calls', 'INFERRED', 13 FROM shop WHERE NOT even
+  UNION ALL SELECT id || '_helper_' || k, id || '_till' || k, 'calls', 'INFERRED', 17 FROM shop WHERE NOT even""",
     "c3_declared_nodes": f"""WITH {JAVA} SELECT 'supplier' || k AS id, 'Supplier' || k || '.java' AS label, source_file, 'L1' AS source_location, NULL AS signature FROM java
   UNION ALL SELECT 'supplier' || k || '_supplier' || k, 'Supplier' || k, source_file, 'L7', NULL FROM java
   UNION ALL SELECT 'supplier' || k || '_supplier' || k || '_run', '.run()', source_file, 'L9', 'public void run()' FROM java
@@ -363,6 +412,16 @@ shown AS (SELECT * FROM nodes WHERE (SELECT count(*) FROM nodes) <= 5000 OR id I
     "d17_first_labels": _graph("SELECT community, count(*) AS nodes, string_agg(label, ', ' ORDER BY place) FILTER (WHERE place <= 8) || CASE WHEN count(*) > 8 THEN ' (+' || (count(*) - 8) || ' more)' ELSE '' END AS shown FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS place FROM flag WHERE NOT is_file) GROUP BY 1"),
     "d18_inventory": _graph(f"SELECT {KIND} AS file_type, count(*) AS nodes FROM nodes GROUP BY 1"),
     "e4_cohesion": _graph("SELECT community, size, cohesion::DOUBLE AS cohesion FROM coh", COHESION),
+    "e8_hops": _reached("SELECT id, hops, array_to_string(path, ' > ') AS path FROM bfs", _search("region:0")),
+    "e8_components": _reached(
+        "SELECT id, component FROM comp",
+        "comp(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT link.id, min(comp.component) FROM comp JOIN link ON link.other = comp.id JOIN recurring.comp AS seen ON seen.id = link.id WHERE comp.component < seen.component GROUP BY link.id)",
+    ),
+    "f6_path": _reached(
+        "SELECT (place - 1)::INTEGER AS hop, step.id, label, CASE WHEN place > 1 THEN relation END AS relation FROM step LEFT JOIN nodes ON nodes.id = step.id LEFT JOIN edges ON edges.a = least(step.id, step.before) AND edges.b = greatest(step.id, step.before)",
+        _search("customer:0"),
+        "step AS (SELECT place, path[place] AS id, path[place - 1] AS before FROM (SELECT path, unnest(range(1, len(path) + 1)) AS place FROM bfs WHERE id = 'supplier:1'))",
+    ),
     "e9_induced": _graph("SELECT a, b, relation FROM edges WHERE a IN (SELECT id FROM nodes WHERE file_type = 'code') AND b IN (SELECT id FROM nodes WHERE file_type = 'code')"),
     "e10_neighbors": _graph("SELECT id, other, relation FROM sides"),
     "f1_find": f"WITH {NODES} SELECT id, label, CASE WHEN lower(label) = 'the' OR lower(id) = 'the' THEN 0 ELSE 1 END AS rank FROM nodes WHERE contains(lower(label), 'the') OR lower(id) = 'the'",

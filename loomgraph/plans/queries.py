@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import ids, text
 from ..functions.secrets import has_secret, secret_label
-from ..operators import build, capture, centrality, code, community, docs, export, incremental, metrics, notes, paths, query, questions, validate, xref
+from ..functions.text import word_count
+from ..operators import build, capture, centrality, code, community, docs, export, incremental, metrics, notes, paths, query, questions, report, validate, xref
 from ..sources import files, office, web
 from ..streaming import events as streams
 from . import kg
@@ -174,7 +176,37 @@ def a27_chart_nodes(spark, sf_dir):
 @register
 def a28_report(spark, sf_dir):
     g = kg.graph(spark, sf_dir)
-    return export.report(g, _labels(g))
+    total = files.warning(kg.documents(spark, sf_dir).select(word_count(F.col("text")).alias("words")))
+    return report.report(g.with_hyperedges(kg.hyperedge_records(spark, sf_dir)), _labels(g), "corpus", total, questions.suggest_questions(g, _labels(g)))
+
+
+@register
+def a28_ambiguous(spark, sf_dir):
+    return report.ambiguous(kg.graph(spark, sf_dir)).select("line")
+
+
+@register
+def a28_gaps(spark, sf_dir):
+    g = kg.graph(spark, sf_dir)
+    return report.gaps(g, _labels(g)).select("place", "line")
+
+
+@register
+def a28_hyperedges(spark, sf_dir):
+    return report.hyperedges(build.first_hyperedges(kg.hyperedge_records(spark, sf_dir))).select("place", "line")
+
+
+@register
+def b_hyperedges(spark, sf_dir):
+    rows = build.first_hyperedges(kg.hyperedge_records(spark, sf_dir))
+    return rows.select("id", "label", F.array_join("nodes", ",").alias("nodes"), "relation", "confidence", "confidence_score")
+
+
+@register
+def a20_hyperedge_json(spark, sf_dir):
+    g = kg.graph(spark, sf_dir).with_hyperedges(kg.hyperedge_records(spark, sf_dir))
+    back = export.json_lines(g).where("kind = 'hyperedge'").select(F.from_json("json", schema.HYPEREDGE).alias("h"))
+    return back.select("h.id", "h.label", F.size("h.nodes").alias("members"), "h.confidence_score", "h.ord")
 
 
 @register
@@ -303,6 +335,23 @@ def c13_imported_classes(spark, sf_dir):
     return code.imported_classes(code.python_records(kg.modules(spark, sf_dir))).select("source", "target", "line")
 
 
+@register
+def c2_branched_nodes(spark, sf_dir):
+    rows = code.python_records(kg.shops(spark, sf_dir)).where("kind = 'node'")
+    return rows.select("id", "label", "file_type", "source_file", F.col("line").cast("int").alias("line"), "signature")
+
+
+@register
+def c8_branched_edges(spark, sf_dir):
+    rows = code.python_records(kg.shops(spark, sf_dir)).where("kind = 'edge'")
+    return rows.select("source", "target", "relation", "source_file", F.col("line").cast("int").alias("line"))
+
+
+@register
+def c9_nested_calls(spark, sf_dir):
+    return code.call_edges(code.python_records(kg.shops(spark, sf_dir))).select("source", "target", "relation", "confidence", "line")
+
+
 @register
 def c3_declared_nodes(spark, sf_dir):
     nodes, _ = code.declared_records(kg.headers(spark, sf_dir))

@@ -125,6 +125,33 @@ def test_python_code_in_every_branch_is_read():
     assert {r["target"] for r in rows if r.get("relation") == "imports"} == {"fast", "slow"}
 
 
+TWICE = """
+@memo(start())
+def outer(x=default()):
+    @wrap(before())
+    def inner(y):
+        return hidden(y)
+    class Local:
+        def method(self):
+            return hidden(self)
+    return [shown(lambda z: also(z)) for _ in x]
+def outer(x):
+    return late(x)
+class Box:
+    @property
+    def size(self): return 1
+    @size.setter
+    def size(self, to): reset(to)
+"""
+
+
+def test_calls_stay_in_their_function_and_names_count_once():
+    rows = code.parse_python("sea/boat.py", TWICE)
+    assert {(r["source"], r["name"]) for r in rows if r["kind"] == "call"} == {("boat_outer", x) for x in ("wrap", "before", "shown", "also", "late")} | {("boat_box_size", "reset")}
+    nodes = [(r["id"], r["line"], r.get("signature")) for r in rows if r["kind"] == "node"]
+    assert nodes == [("boat", 1, None), ("boat_outer", 3, "def outer(x=default())"), ("boat_box", 13, None), ("boat_box_size", 15, "def size(self)")]
+
+
 def test_bases_of_the_same_file(spark):
     text = "class Kid extends Hull {\n}\nclass Hull {\n}\nclass Raft extends Float {\n}\n"
     nodes, edges = code.declared_records(table(spark, "source_file text", ("T.java", text)))

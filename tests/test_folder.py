@@ -46,4 +46,23 @@ def test_build_and_save(spark, tmp_path):
         kept = [c for c in before.columns if c != "confidence_score"]
         assert set(kept) <= set(after.columns)
         assert sorted(map(str, before.select(kept).collect())) == sorted(map(str, after.select(kept).collect()))
-    assert "# Knowledge Wiki Report" in "".join(r.value for r in spark.read.text(str(tmp_path / "out/report")).collect())
+    report = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out/report")).collect())
+    for part in ("# Knowledge Wiki Report", "## Summary", "## God Nodes", "## Surprising Connections", "## Communities", "## Knowledge Gaps", "## Suggested Questions"):
+        assert part in report
+
+
+def test_a_watched_folder_is_built_again(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.py").write_text("def first():\n    pass\n")
+
+    def labels():
+        folder.keep_built(spark, str(root), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True).awaitTermination()
+        built = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("-")[0]))
+        lines = spark.read.text(str(built[-1] / "graph")).where("kind = 'node'").collect()
+        return len(built), {json.loads(r.value)["label"] for r in lines}
+
+    assert labels() == (1, {"a.py", "first()"})
+    (root / "a.py").write_text("def second():\n    pass\n")
+    assert labels() == (2, {"a.py", "second()"})
+    assert labels()[0] == 2

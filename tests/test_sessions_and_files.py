@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -120,13 +121,58 @@ def test_incremental_equals_a_full_build(spark):
     assert sorted(tuple(r) for r in incremental.apply_changes(table, fresh, status).collect()) == [("a", 1), ("b", 20), ("d", 4)]
 
 
-def test_watch_sees_new_files(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    seen = []
-    for name in ("a.md", "b.md"):
-        (tmp_path / "in" / name).write_text(name)
-        watch.watch(spark, str(tmp_path / "in"), lambda df, n: seen.extend(r.path.rsplit("/", 1)[-1] for r in df.collect()), str(tmp_path / "cp"), "*.md").awaitTermination()
-    assert seen == ["a.md", "b.md"]
+def test_watch_sees_new_changed_and_deleted_files(spark, tmp_path):
+    root, seen = tmp_path / "in", []
+    (root / "sub").mkdir(parents=True)
+
+    def look(fail=False):
+        def action(df, n):
+            seen.append({r.path: r.status for r in df.collect()})
+            if fail:
+                raise ValueError("not now")
+
+        query = watch.watch(spark, str(root), action, str(tmp_path / "cp"), "*.md")
+        try:
+            query.awaitTermination()
+        except Exception:
+            assert fail
+        return seen[-1] if seen else None
+
+    (root / "a.md").write_text("a")
+    (root / "sub/_b.md").write_text("b")
+    (root / "c.txt").write_text("c")
+    assert look() == {"a.md": "new", "sub/_b.md": "new"}
+    before = len(seen)
+    look()
+    assert len(seen) == before
+    (root / "a.md").write_text("longer")
+    os.utime(root / "a.md", (1, 1))
+    (root / "sub/_b.md").unlink()
+    (root / "d.md").write_text("d")
+    # A batch whose action failed comes again.
+    for fail in (True, False):
+        assert look(fail) == {"a.md": "modified", "sub/_b.md": "deleted", "d.md": "new"}
+    before = len(seen)
+    look()
+    assert len(seen) == before and len(list((tmp_path / "cp/manifests").iterdir())) <= 3
+
+
+def test_scan_lists_before_it_reads(spark, tmp_path):
+    for path in ("src/__init__.py", "src/_core.py", "node_modules/deep/x.js", ".git/y.py", "docs/big.md", "docs/skip/z.md", "secrets/token.py", "wiki-out/memory/m.md", "wiki-out/other/n.md", "img/p.png", "bin/q.exe"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+    # Files that would fail to open, where nothing may be opened.
+    for path in ("node_modules/deep/gone.js", "docs/skip/gone.md", ".git/gone.py"):
+        (tmp_path / path).symlink_to(tmp_path / "nowhere")
+    (tmp_path / "src/loop").symlink_to(tmp_path)
+    rows = {r.source_file: r for r in files.scan(spark, str(tmp_path), ["docs/skip"]).collect()}
+    kept = {"src/__init__.py", "src/_core.py", "docs/big.md", "wiki-out/memory/m.md", "img/p.png"}
+    assert set(rows) == kept | {"secrets/token.py"}
+    assert all(bytes(rows[p].content).decode() == p for p in kept) and rows["secrets/token.py"].content is None and rows["secrets/token.py"].skipped == "sensitive"
+    assert sum(len(r.content or b"") for r in rows.values()) == sum(map(len, kept))
+    listed = {r.source_file for r in files.listing(spark, str(tmp_path), ["docs/skip"]).collect()}
+    assert listed == kept | {"secrets/token.py", "bin/q.exe"}
+    assert files.scan(spark, str(tmp_path / "nothing")).count() == 0
 
 
 def test_stream_equals_batch(spark):
