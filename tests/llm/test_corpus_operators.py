@@ -508,3 +508,17 @@ def test_pipeline_links_near_copies(spark, monkeypatch, bucket):
     assert 20 < len(want) < len(rows) - 20
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shingle_counts_are_of_all_texts(spark):
+    """Texts enough for a sample of every other one, as the order once was counted from."""
+    texts, keys_of = 12_000, lambda text: shingle_join._count_key(shingle_join.shingles(text), bits).tolist()
+    same = spark.range(texts).selectExpr("id AS doc_id", "concat('one line for all of them ', id) AS text")
+    found = shingle_join.common_shingles(same)
+    assert found[-1].tolist() == [texts] * 2
+    bits, keys, counts = found
+    assert dict(zip(keys.tolist(), counts.tolist())) == dict.fromkeys(keys_of("one line for all of them"), texts) and keys.tolist() == sorted(keys)
+    docs = spark.range(texts).selectExpr("id AS doc_id", "concat('one line for all x', id, IF(id % 1500 = 7, ' a b c d e f', '')) AS text").repartition(5)
+    bits, keys, counts = shingle_join.common_shingles(docs)
+    assert dict(zip(keys.tolist(), counts.tolist())) == dict.fromkeys(keys_of("a b c d e f"), texts // 1500) and len(keys) == 2
+    assert [len(x) for x in shingle_join.common_shingles(same.limit(0))[1:]] == [0, 0]
