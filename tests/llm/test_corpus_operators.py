@@ -522,3 +522,26 @@ def test_shingle_counts_are_of_all_texts(spark):
     bits, keys, counts = shingle_join.common_shingles(docs)
     assert dict(zip(keys.tolist(), counts.tolist())) == dict.fromkeys(keys_of("a b c d e f"), texts // 1500) and len(keys) == 2
     assert [len(x) for x in shingle_join.common_shingles(same.limit(0))[1:]] == [0, 0]
+
+
+def test_joins_of_the_near_duplicate_stage_follow_texts(spark):
+    """Rows of every join, as Spark counts them: as many as texts, pairs or fingerprints' segments, not as the texts' shingles (7,000 here)."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: [runs.apply(i).executionId() for runs in [store.executionsList()] for i in range(runs.size())]
+    before = set(ids())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingle_join.keep_first(docs).collect()) == list(range(0, 60, 2))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = []
+    for run in set(ids()) - before:
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())) if "Join" in node.name() else ():
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+    assert len(made) > 5 and 30 <= max(made) <= simhash.SEGMENTS * len(texts)
