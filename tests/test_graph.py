@@ -391,3 +391,30 @@ def test_upkeep_reads_what_a_change_touches(spark, tmp_path):
     kept.update(spark.createDataFrame([("f3",)], "file string"), spark.createDataFrame(fresh, node), spark.createDataFrame([], edge))
     assert all(rows < n / 10 for rows in kept.read_rows.values()) and set(kept.read_rows) >= {"said_nodes", "nodes", "sides", "labels"}
     assert kept.graph().nodes.count() == n - 1 and {r.id: r.component for r in kept.components().where("id = 'n00006'").collect()} == {"n00006": "n00006"}
+
+
+@pytest.mark.parametrize("kept", [centrality.KEPT_CELLS, 10])
+@pytest.mark.parametrize(("n", "hubs", "rest", "tail"), [(30, 3, 0.02, 0), (25, 2, 0.05, 6), (60, 4, 0.0, 0), (10, 0, 0.3, 40)])
+def test_searches_in_batches_equal_single_ones(monkeypatch, kept, n, hubs, rest, tail):
+    """Sums of nodes and edges from many sources at once, with hubs, edges beside them and long paths; without room, source by source."""
+    monkeypatch.setattr(centrality, "KEPT_CELLS", kept)
+    rng = np.random.default_rng(n)
+    pairs = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.6 if i < hubs else rest)} | {(n + k - 1, n + k) for k in range(tail)}
+    m = n + tail
+    a, b = np.sort(rng.permutation(m)[np.array(sorted(pairs))], axis=1).T
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    copies, weight = (rng.integers(1, most, m).astype(float) for most in (4, 5))
+    copies[~np.isin(np.arange(m), np.append(a, b))] = 1.0
+    tails, number = np.append(a, b), np.tile(np.arange(len(a)), 2)
+    order = np.argsort(tails, kind="stable")
+    arrays = centrality.Arrays(np.searchsorted(tails[order], np.arange(m + 1)), np.append(b, a)[order], number[order], copies, weight)
+    nodes, edges = np.zeros(m), np.zeros(len(a))
+    alone = [centrality.shares(s, arrays, nodes, edges) for s in range(m)]
+    parts = [centrality.search(m, a, b, copies, weight, task, 3, True) for task in range(3)]
+    assert np.allclose(sum(p[0] for p in parts), nodes) and np.allclose(sum(p[1] for p in parts), edges)
+    reach = dict(zip(np.concatenate([p[2] for p in parts]).tolist(), np.concatenate([p[3] for p in parts]).tolist(), strict=True))
+    assert sorted(reach) == list(range(m)) and np.allclose([reach[s] for s in range(m)], [x[0] for x in alone])
+    assert sum(p[4] for p in parts) == sum(x[1] for x in alone)
+    only = [centrality.search(m, a, b, copies, weight, task, 2, False) for task in range(2)]
+    assert np.allclose(sum(p[0] for p in only), nodes)
