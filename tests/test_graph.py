@@ -418,3 +418,12 @@ def test_searches_in_batches_equal_single_ones(monkeypatch, kept, n, hubs, rest,
     assert sum(p[4] for p in parts) == sum(x[1] for x in alone)
     only = [centrality.search(m, a, b, copies, weight, task, 2, False) for task in range(2)]
     assert np.allclose(sum(p[0] for p in only), nodes)
+
+
+def test_communities_of_numbers_and_side_by_side(spark):
+    """Numbers keep their order as such, and large communities are settled in one job."""
+    pairs = [(x + 8 * c, y + 8 * c) for c in range(3) for x, y in combinations(range(8), 2)] + [(7, 8), (15, 16)]
+    sides = spark.createDataFrame([(x, y, 1.0) for a, b in pairs for x, y in ((a, b), (b, a))], "id long, other long, w double").repartition(3)
+    assert {r.id: r.c for r in community.partition(sides, 1.0).collect()} == {i: i // 8 * 8 for i in range(24)}
+    members = spark.createDataFrame([(i, 0 if i < 16 else 16) for i in range(24)], "id long, c long")
+    assert {r.id: r.c for r in community._split(sides, members, 1.0).collect()} == {i: i // 8 * 8 for i in range(24)}
