@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import code_id
 from ..functions.text import cut_at_word, extension, file_name, stem
 from .docs import numbered_lines
+from .paths import stored
 
 RECORD = "kind string, id string, label string, file_type string, source string, target string, relation string, confidence string, weight double, source_file string, line int, signature string, name string, nth int"
 # Comments that give a reason, and the least length of a docstring that does.
@@ -225,9 +226,11 @@ def declared_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def call_edges(records: DataFrame) -> DataFrame:
     """Calls within a file to what is declared there, once for each pair: source, target, relation, confidence, weight."""
     name = F.lower(F.regexp_replace(F.regexp_replace("label", r"\(\)$", ""), r"^\.", ""))
-    known = records.where("kind = 'node' and file_type = 'code'").groupBy("source_file", name.alias("key")).agg(F.max_by("id", "nth").alias("target"))
-    calls = records.where("kind = 'call'").select("source_file", "source", F.lower("name").alias("key"), "line")
-    found = calls.join(known, ["source_file", "key"]).where("source <> target").groupBy("source_file", "source", "target").agg(F.min("line").alias("line"))
+    key = F.when(F.col("kind") == "call", F.lower("name")).otherwise(name)
+    # Files are parsed once: what a file declares and what it calls meet in one pass over its records.
+    rows = records.where("kind = 'call' or kind = 'node' and file_type = 'code'").select("kind", "source_file", key.alias("key"), "id", "nth", "source", "line")
+    target = F.max_by("id", F.when(F.col("kind") == "node", F.col("nth"))).over(W.partitionBy("source_file", "key"))
+    found = rows.withColumn("target", target).where("kind = 'call' and source <> target").groupBy("source_file", "source", "target").agg(F.min("line").alias("line"))
     return found.select("source", "target", F.lit("calls").alias("relation"), F.lit("INFERRED").alias("confidence"), F.lit(0.8).alias("weight"), "source_file", "line")
 
 
@@ -237,7 +240,9 @@ def _entities(records: DataFrame) -> DataFrame:
 
 
 def imported_classes(records: DataFrame) -> DataFrame:
-    """`uses` edges from each class of a file to what the file imports by name from another."""
+    """`uses` edges from each class of a file to what the file imports by name from another. Files are parsed once: classes and imports are stored."""
+    rows = records.where("kind = 'import' or kind = 'node' and file_type = 'code' and source_file <> ''")
+    records = stored(rows.select("kind", "id", "label", "file_type", "source_file", "name", "target", "line", "nth"), "classes")
     known = _entities(records).where(~F.col("label").startswith("_")).groupBy(stem(F.col("source_file")).alias("module"), F.col("label").alias("name")).agg(F.max_by("id", "nth").alias("target"))
     imports = records.where("kind = 'import'").select("source_file", "name", F.col("target").alias("module"), "line")
     local = _entities(records).select("source_file", F.col("id").alias("source")).distinct()

@@ -145,6 +145,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.concat("source", F.lit("/doc_"), n, F.lit(".md")).alias("source_file"), F.lit("document").alias("file_type"), text.alias("text"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table that much work comes from, dealt to all cores: its file alone may be one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_file, text: each part rendered as a Python module whose class builds on the next part's."""
     k, after = F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
@@ -153,7 +159,8 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('):\n    """Class of brand '), "p_brand", F.lit(' and type."""\n\n    def price(self):\n        return helper_'), k, F.lit("(self)\n\n\ndef helper_"), k, F.lit("(x):\n    # NOTE: size "), F.col("p_size").cast("string"),
         F.lit("\n    return os.path.join(str(x))\n"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("parts/part_"), k, F.lit(".py")).alias("source_file"), text.alias("text"))
+    parts = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
+    return parts.select("p_partkey", F.concat(F.lit("parts/part_"), k, F.lit(".py")).alias("source_file"), text.alias("text"))
 
 
 def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +214,8 @@ else:
     k = F.col("s_suppkey").cast("string")
     body = F.replace(F.when(F.col("s_suppkey") % 2 == 0, twice).otherwise(branches), F.lit("@K"), k)
     text = F.concat(F.lit('"""Shop of '), "s_name", F.lit(' and others."""\n'), body)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("shops/shop_"), k, F.lit(".py")).alias("source_file"), text.alias("text"))
+    suppliers = _spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+    return suppliers.select("s_suppkey", F.concat(F.lit("shops/shop_"), k, F.lit(".py")).alias("source_file"), text.alias("text"))
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
