@@ -18,10 +18,13 @@ MAX_DEFINITIONS = 20
 MIN_CONCEPT = 3
 
 
-def numbered_lines(docs: DataFrame, key: str = "source_file") -> DataFrame:
-    """Lines outside fenced code: key, line_no (from 1), line. Fence marks themselves are left out."""
+def numbered_lines(docs: DataFrame, key: str = "source_file", wanted: Column | None = None) -> DataFrame:
+    """Lines outside fenced code: key, line_no (from 1), line. Fence marks themselves are left out. With `wanted` (of `line`) only such lines, and
+    only these and the fence marks are shuffled."""
     split = docs.select(key, F.posexplode(lines(F.col("text"))).alias("at", "line"))
     fence = F.trim(F.col("line")).startswith("```")
+    if wanted is not None:
+        split = split.where(fence | wanted)
     before = W.partitionBy(key).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     marked = split.withColumns({"fence": fence, "inside": F.sum(fence.cast("int")).over(before) % 2 == 1})
     return marked.where("not fence and not inside").select(key, (F.col("at") + 1).alias("line_no"), "line")

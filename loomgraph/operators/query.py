@@ -64,7 +64,7 @@ def orphans(graph: Graph, include_hubs: bool = False) -> DataFrame:
 
 def stale_refs(nodes: DataFrame, notes: DataFrame) -> DataFrame:
     """[[links]] of notes (source_file, text) that name no node: source_file, line_no, label."""
-    refs = numbered_lines(notes).select("source_file", "line_no", F.explode(F.regexp_extract_all("line", F.lit(WIKILINK), F.lit(1))).alias("ref"))
+    refs = numbered_lines(notes, wanted=F.contains("line", F.lit("[["))).select("source_file", "line_no", F.explode(F.regexp_extract_all("line", F.lit(WIKILINK), F.lit(1))).alias("ref"))
     label = F.regexp_replace(F.substring_index("ref", "#", 1), r"(?U)^\s+|\s+$", "")
     refs = refs.select("source_file", "line_no", label.alias("label")).where("label <> ''")
     return refs.join(nodes.select(F.coalesce("label", "id").alias("label")), "label", "left_anti").select("source_file", "line_no", "label")
