@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import file_name, has_suffix
 from ..schema import CONFIDENCES, STRUCTURAL
 from .build import Graph
+from .paths import cut
 
 # Suffixes by category of a source file; all others are documents.
 CATEGORIES = {
@@ -132,10 +133,10 @@ def is_test_path(path: Column) -> Column:
     return name.startswith("test_") | name.endswith("_test.py") | path.rlike("(^|/)tests/")
 
 
-def edge_details(graph: Graph) -> DataFrame:
-    """Edges with both ends' label, source_file, community, degree, flags and ord (suffixes _a and _b)."""
+def edge_details(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
+    """Edges, all or those given, with both ends' label, source_file, community, degree, flags and ord (suffixes _a and _b)."""
     nodes = flagged(graph).select("id", "label", "source_file", "community", "degree", "is_file", "is_concept", F.col("ord").alias("node_ord"))
-    out = graph.edges
+    out = graph.edges if edges is None else edges
     for end in ("a", "b"):
         out = out.join(nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in nodes.columns[1:]]), end)
     return out
@@ -191,8 +192,11 @@ def cross_file_edges(graph: Graph) -> DataFrame:
 
 
 def cross_file_surprises(graph: Graph, top_n: int = 5) -> DataFrame:
-    best = cross_file_edges(graph).orderBy(F.col("score").desc(), "ord", "a", "b").limit(top_n)
-    return _by_direction(best).select("source", "target", "from_file", "to_file", confidence().alias("confidence"), "relation", "score", "why")
+    order = [F.col("score").desc(), "ord", "a", "b"]
+    # Scores first, then labels and reasons of those few edges: what all edges carry through the joins is short.
+    best = cut(cross_file_edges(graph).select("a", "b", "score", "ord").orderBy(*order).limit(top_n).select("a", "b"))
+    few = graph.edges.join(F.broadcast(best), ["a", "b"])
+    return _by_direction(surprise(edge_details(graph, few)).orderBy(*order)).select("source", "target", "from_file", "to_file", confidence().alias("confidence"), "relation", "score", "why")
 
 
 def cross_community_surprises(graph: Graph, top_n: int = 5) -> DataFrame:
@@ -209,7 +213,7 @@ def surprising_connections(graph: Graph, top_n: int = 5) -> DataFrame:
     """Surprises across files; across communities if there is one source file only, or nothing across files."""
     files = graph.nodes.where("source_file <> ''").select("source_file").distinct().limit(2).count()
     if files > 1:
-        found = cross_file_surprises(graph, top_n)
+        found = cut(cross_file_surprises(graph, top_n))
         if not found.isEmpty():
             return found.select("source", "target", "from_file", "to_file", "confidence", "relation", F.col("why").alias("note"))
     found = cross_community_surprises(graph, top_n)
