@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.secrets import has_secret
 from ..functions.text import WIKILINK
+from .xref import WORD, looked_up
 
 # What a message must say to be a candidate, and the tags it suggests.
 KEYWORDS = ("vì", "lý do", "because", "rationale", "trade-off", "tradeoff", "decided", "design choice")
@@ -39,14 +40,15 @@ def tags(text: Column) -> Column:
 def links(messages: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """(key, links): [[links]] of a message and graph labels it names, case as written, sorted.
 
-    Labels of one word join on words. Longer ones join on their first word, then the whole label must stand between boundaries.
+    Labels of one word join on words. Others join on their rarest word, then the whole label must stand between boundaries. Only the
+    messages' words are dealt out for that, and the texts of those that hold such a word.
     """
-    word = r"[\p{L}\p{N}_]+"
     marked = messages.select(key, F.explode(F.regexp_extract_all("text", F.lit(WIKILINK), F.lit(1))).alias("link"))
-    said = messages.select(key, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("first"))
-    known = labels.select("label").where("label <> ''").distinct().withColumn("first", F.regexp_extract("label", word, 0))
+    said = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    plain, held = looked_up(messages, labels.select("label").where("label <> ''").distinct(), said, "label", key)
     whole = F.concat(F.lit(r"(?U)\b\Q"), "label", F.lit(r"\E\b"))
-    named = said.join(known, "first").where((F.col("label") == F.col("first")) | F.regexp_like("text", whole)).select(key, F.col("label").alias("link"))
+    longer = held.join(messages.select(key, "text"), key).where(F.regexp_like("text", whole))
+    named = plain.unionByName(longer.select(*plain.columns)).select(key, F.col("label").alias("link"))
     return marked.unionByName(named).groupBy(key).agg(F.array_sort(F.collect_set("link")).alias("links"))
 
 
