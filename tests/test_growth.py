@@ -64,3 +64,11 @@ def test_surprises_are_scored_before_they_are_named(spark):
     found = metrics.cross_file_surprises(g, 7)
     assert [tuple(r) for r in found.collect()] == [tuple(r) for r in every.select(*found.columns).collect()]
     assert "CartesianProduct" not in plan(found) and "TakeOrderedAndProject" not in plan(found)
+
+
+def test_reports_and_questions_are_put_together_from_parts(spark):
+    from loomgraph.plans.queries import QUERIES
+
+    questions, lines = (QUERIES[name](spark, SF) for name in ("d13_questions", "a28_report"))
+    assert "Join" not in plan(questions) and questions.count() > 0
+    assert plan(lines).count("Exchange") <= 30 and lines.count() > 0
